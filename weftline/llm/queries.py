@@ -10,6 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import public_path
+
+    return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_digests
+    from .tokens import public_path
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.tiktoken"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -25,6 +39,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
