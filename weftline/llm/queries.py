@@ -24,6 +24,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.tiktoken"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_digests
+
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -41,6 +47,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_personal_data": op5_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
