@@ -3,3 +3,18 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_top_k"] = """
+WITH bits AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings
+), codes AS (
+  SELECT vec_id, list_reduce(list_transform(range(1, 33), lambda i: CASE WHEN b[i] = '1' THEN 1::BIGINT << (i - 1)::INT ELSE 0 END), lambda x, y: x + y) AS lo,
+         list_reduce(list_transform(range(33, 65), lambda i: CASE WHEN b[i] = '1' THEN 1::BIGINT << (i - 33)::INT ELSE 0 END), lambda x, y: x + y) AS hi
+  FROM bits
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, (bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)))::BIGINT AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)), c.vec_id) AS rank
+  FROM codes q JOIN codes c ON q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, id, distance FROM ranked WHERE rank <= 10
+"""

@@ -24,6 +24,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.tiktoken"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every fiftieth embedding, itself included."""
+    from .topk import search_embeddings
+
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import span_digests
 
@@ -55,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_top_k": op4_top_k,
     "op5_personal_data": op5_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
