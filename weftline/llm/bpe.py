@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed_texts
-from .tokens import BYTE_PATTERN, MAX_CACHED, MAX_PIECE, compiled, groups_by_size
+from .tokens import BYTE_PATTERN, MAX_CACHED, MAX_PIECE, finder, groups_by_size, packed, shrink
 
 MAX_PAIRS = 400_000
 
@@ -37,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BacktrackingBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str = BYTE_PATTERN):
         self.ranks = ranks
-        self.find = compiled(pattern).findall
+        self.find = finder(pattern)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -105,7 +105,7 @@ class BacktrackingBPE:
         return laid
 
     def _missing(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        return packed(self.encode_piece(piece.encode("utf-8", "replace")))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -116,7 +116,7 @@ class BacktrackingBPE:
         except KeyError:
             pass
         if len(cache) > MAX_CACHED:
-            cache.clear()
+            cache = self.cache = shrink(cache)
         out = []
         for p in pieces:
             ids = cache.get(p)

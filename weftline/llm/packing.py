@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import keyed_texts
-from .tokens import groups_by_size, library_tokenizer
+from .tokens import groups_by_size, byte_tokenizer
 
 CAPACITY = 2048
 PIECE = 512
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     schema = f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{ids_type}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = library_tokenizer(tokenizer_file)
+        tokenizer = byte_tokenizer(tokenizer_file)
         end = np.array([END_ID], "<u4").tobytes()
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
