@@ -43,6 +43,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idfile import read_ids, write_ids
+    from .tokens import public_path
+
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")), with_ids=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_top_k": op4_top_k,
     "op5_personal_data": op5_personal_data,
+    "op6_id_files": op6_id_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
