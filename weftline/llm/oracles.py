@@ -18,3 +18,52 @@ WITH bits AS (
 )
 SELECT query_id, rank::INTEGER AS rank, id, distance FROM ranked WHERE rank <= 10
 """
+
+_METRICS = {"symbols": ("1000 * n_symbols // greatest(n_words, 1)", 1000, 20), "dup_lines": ("1000 * n_dup_lines // greatest(n_lines, 1)", 1000, 60), "repeats": ("1000 * n_repeat_words // greatest(n_words, 1)", 1000, 60), "word_len": ("10 * word_chars // greatest(n_words, 1)", 400, 10)}
+_LEVELS = (("s", "lang, source"), ("l", "lang"), ("c", "1 + 1"))
+
+
+def _fence(metric: str, level: str, by: str) -> str:
+    floor = _METRICS[metric][2]
+    return f"""fence_{metric}_{level} AS (
+      SELECT {by if level != 'c' else '0 AS one'}, max(total) AS total,
+        min(bin) FILTER (2 * rn >= total) + 5 * greatest(min(bin) FILTER (4 * rn >= 3 * total) - min(bin) FILTER (2 * rn >= total), {floor}) AS fence
+      FROM (SELECT lang, source, {metric} AS bin, row_number() OVER (PARTITION BY {by} ORDER BY {metric}) AS rn, count(*) OVER (PARTITION BY {by}) AS total FROM binned WHERE NOT base_failed)
+      GROUP BY {by if level != 'c' else 'one'})"""
+
+
+def _quality_sql() -> str:
+    fences = ",\n".join(_fence(m, level, by) for m in _METRICS for level, by in _LEVELS)
+    joins, tests = [], []
+    for m in _METRICS:
+        s, lang, c = (f"fence_{m}_{level}" for level in "slc")
+        joins.append(
+            f"LEFT JOIN {s} ON b.lang IS NOT DISTINCT FROM {s}.lang AND b.source IS NOT DISTINCT FROM {s}.source LEFT JOIN {lang} ON b.lang IS NOT DISTINCT FROM {lang}.lang LEFT JOIN {c} ON true"
+        )
+        tests.append(f"coalesce({m} <= CASE WHEN {s}.total >= 200 THEN {s}.fence WHEN {lang}.total >= 200 THEN {lang}.fence ELSE {c}.fence END, true)")
+    bins = ", ".join(f"least({e}, {top}) AS {m}" for m, (e, top, _) in _METRICS.items())
+    return f"""
+    WITH split AS (
+      SELECT doc_id, lang, source, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+      FROM documents
+    ), windows AS (
+      SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split)
+    ), twice AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+    ), repeats AS (
+      SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1
+    ), counted AS (
+      SELECT s.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
+      FROM split s LEFT JOIN repeats r ON s.doc_id = r.doc_id
+    ), binned AS (
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {bins} FROM counted
+    ), {fences}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept
+    FROM binned b {' '.join(joins)}"""
+
+
+ORACLES["op7_quality_rules"] = _quality_sql()
