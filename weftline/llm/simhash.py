@@ -179,17 +179,19 @@ def make_plan(fps: DataFrame, radius: int, n: int) -> list[tuple[list[int], int]
     corr = cov / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
     best: tuple[float, list] = (math.inf, [])
-    for m in range(2, min(radius + 2, 8) + 1):
-        groups = bit_groups(corr, m)
-        same = fps.select(F.posexplode(F.array(*(_pick_column(F.col("fp"), g) for g in groups))).alias("part", "value")).groupBy("part", "value").count()
-        equal = {r["part"]: float(r["s"]) for r in same.groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1)).alias("s")).collect()}
+    dealt = {m: bit_groups(corr, m) for m in range(2, min(radius + 2, 8) + 1)}
+    # all partitions of all plans in one pass: fingerprints that share a value, summed per partition
+    values = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(i).alias("part"), _pick_column(F.col("fp"), g).alias("value")) for m, groups in dealt.items() for i, g in enumerate(groups)))
+    same = fps.select(F.explode(values).alias("v")).groupBy("v.m", "v.part", "v.value").count()
+    equal = {(r["m"], r["part"]): float(r["s"]) for r in same.groupBy("m", "part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1)).alias("s")).collect()}
+    for m, groups in dealt.items():
         cost = []
         for i, g in enumerate(groups):
             row = [0.0]
             for t in range(radius + 1):
                 probes = sum(math.comb(len(g), r) for r in range(t + 1))
                 # a probe costs a row; a candidate pair costs a row too, and near values are about as often met as equal ones
-                row.append(n * (1 + probes) + equal.get(i, 0.0) + (probes - 1) * n * (n / 2 ** len(g)) if probes * n < 2**62 else math.inf)
+                row.append(n * (1 + probes) + equal.get((m, i), 0.0) + (probes - 1) * n * (n / 2 ** len(g)))
             cost.append(row)
         total, ts = allocate(cost, radius - m + 1)
         if total < best[0]:
