@@ -74,7 +74,7 @@ def break_contracts(df: DataFrame, model: dict[str, Any], key: str, ratio: float
     for r in rules:
         if r["assertion"] == "non_negative" and r["column"] in df.columns:
             c = F.col(r["column"])
-            df = df.withColumn(r["column"], F.when(happens(seed, f"negative|{r['column']}", k, ratio), c * -1.5 - 10).otherwise(c))
+            df = df.withColumn(r["column"], F.when(happens(seed, f"negative|{r['column']}", k, ratio), (c * -1.5 - 10).cast(df.schema[r["column"]].dataType)).otherwise(c))
     return break_dependencies(df, key, rules, ratio, seed)
 
 

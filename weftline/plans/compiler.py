@@ -176,6 +176,7 @@ class Context:
                 other = s.relation.df.select(F.col(self.row_ids(s.relation)).alias("__k"), F.col(f"`{s.name}`").alias(f"{s.name}_j"))
                 base.df = base.df.join(other, F.col(f"`{key}`") == F.col("__k"), "left").drop("__k")
             elif self.positional:
+                self.row_ids(base), self.row_ids(s.relation)
                 number_of = lambda rel: F.row_number().over(Window.orderBy(*(rel.order or [F.col(self.row_ids(rel))])))
                 other = s.relation.df.withColumn("__k", number_of(s.relation)).select("__k", F.col(f"`{s.name}`").alias(f"{s.name}_j"))
                 base.df = base.df.withColumn("__n", number_of(base)).join(other, F.col("__n") == F.col("__k"), "left").drop("__k", "__n")

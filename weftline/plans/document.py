@@ -166,7 +166,7 @@ def validate(plan: Plan, source_columns: Iterable[str], target_fields: Iterable[
     if target_fields is not None:
         errors += [f"output {k}: not a field of the target" for k in plan.outputs if k not in set(target_fields)]
     try:
-        order(Plan(plan.steps, {**plan.outputs, **{f"_{k}": Node("COPY", (Argument("STEP_REF", k),)) for k in plan.steps}}))
+        order(Plan(plan.steps, {k: Node("COPY", (Argument("STEP_REF", k),)) for k in plan.steps}))
     except PlanError as e:
         errors += [x for x in e.errors if x not in errors and not x.startswith("unknown step")]
     return errors

@@ -79,13 +79,13 @@ def scalar(name: str, table: str, key: str, outputs: dict, sql: str, prepare=Non
 
 # ---- scalar operators ------------------------------------------------------------
 
-_DIRTY = F.when(F.col("o_orderkey") % 7 == 0, F.lit(" nan ")).when(F.col("o_orderkey") % 11 == 0, F.lit("N/A")).otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("\t")))
+_DIRTY = lambda: F.when(F.col("o_orderkey") % 7 == 0, F.lit(" nan ")).when(F.col("o_orderkey") % 11 == 0, F.lit("N/A")).otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("\t")))
 _DIRTY_SQL = "CASE WHEN o_orderkey % 7 = 0 THEN ' nan ' WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE '  ' || o_orderpriority || chr(9) END"
 scalar(
     "copy_clean", "orders", "o_orderkey", {"priority": node("COPY", col("dirty"))},
     f"""SELECT o_orderkey, CASE WHEN s IN ('nan', 'N/A') THEN NULL ELSE s END AS priority
     FROM (SELECT o_orderkey, regexp_replace({_DIRTY_SQL}, '^\\s+|\\s+$', '', 'g') AS s FROM orders)""",
-    lambda d: d.withColumn("dirty", _DIRTY),
+    lambda d: d.withColumn("dirty", _DIRTY()),
 )
 scalar(
     "concat", "customer", "c_custkey", {"label": node("CONCAT", col("c_name"), col("seg"))},
