@@ -36,9 +36,13 @@ def is_missing(c: Column, kind: T.DataType | None) -> Column:
     return c.isNull() | F.isnan(c) if isinstance(kind, FLOATS) else c.isNull()
 
 
+#: Python's white space (fixed values).
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def number(c: Column, kind: T.DataType | None) -> Column:

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir`` counts; one is set only where there is none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"/tmp/weftline-checkpoints/{spark.sparkContext.applicationId}")
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; one is chosen only where there is none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = f"/tmp/weftline-checkpoints/{spark.sparkContext.applicationId}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computed once and written to the shared checkpoint folder, so it survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Computed once: written as a table to the shared folder and read back, so it survives lost executors."""
+    spark = df.sparkSession
+    df = df.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    path = f"{shared_folder(spark)}/tables/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

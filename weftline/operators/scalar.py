@@ -63,7 +63,7 @@ def to_int(args, opts, ctx) -> Column:
 
 def parse_date(args, opts, ctx) -> Column:
     """ISO text of the UTC date, by the first of ``formats`` that fits; else null."""
-    return F.date_format(as_date(*args[0], opts.get("formats") or DATE_FORMATS), "yyyy-MM-dd")
+    return as_date(*args[0], opts.get("formats") or DATE_FORMATS).cast("date").cast("string")
 
 
 def clean_currency(args, opts, ctx) -> Column:
