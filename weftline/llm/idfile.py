@@ -16,7 +16,7 @@ starts empty in every block. Per id:
    two adaptive estimates, by the order-2 slot's confidence and by the order-1
    slot's confidence and agreement, with adaptive weights.
 2. If not: is it the id last seen after the same one id (order 1)?
-3. If not: was it met in this block before the last table was built? Then it is
+3. If not: was it met in this block when the last table was built (after 8, 16, 32, ... steps)? Then it is
    coded by its count (order 0), else by its 16 bits.
 
 Probabilities are whole numbers of 2**16, so a reader on any machine follows
@@ -42,10 +42,11 @@ from .tokens import groups_by_size, library_tokenizer
 MAGIC = b"WID1"
 BLOCK_IDS = 1 << 16
 LANES = 64
-TOGETHER = 48  # blocks coded at once
+TOGETHER = 96  # blocks coded at once
 SYMBOLS = 1 << 16
 ONE_SLOTS, TWO_SLOTS = 1 << 12, 1 << 14
-REBUILD = 32  # steps between order-0 tables
+REBUILD = 8  # the first step with an order-0 table; the next ones come after twice, four times, ... as many
+COARSE = 64
 RATE = 6
 END_ID = 1
 _ONE = 1 << 16
@@ -115,8 +116,11 @@ class _Model:
         self.trust = [np.zeros(blocks * n, np.int64) for n in (ONE_SLOTS, TWO_SLOTS)]
         self.by_two, self.by_one, self.by_rest, self.by_seen = (np.full(blocks * n, _ONE // 2, np.int64) for n in (16, 32, 16, 1))
         self.weight = np.full(blocks, _ONE // 2, np.int64)
-        self.count = np.zeros((blocks, SYMBOLS), np.int64)
-        self.built = np.zeros((blocks, SYMBOLS + 1), np.int64)
+        self.count = np.zeros((blocks, SYMBOLS), np.int32)
+        self.built = np.zeros((blocks, SYMBOLS + 1), np.int32)
+        # for reading: the symbols met, their starts, and where each stretch of COARSE points begins among them
+        self.met, self.edge = np.zeros((blocks, SYMBOLS), np.int32), np.full((blocks, SYMBOLS + 1), _ONE, np.int32)
+        self.coarse = np.zeros((blocks, _ONE // COARSE + 1), np.int32)
         self.last, self.last_but = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def look(self, who: np.ndarray) -> None:
@@ -156,15 +160,24 @@ class _Model:
             hit = guess == ids
             self.guess[k][slot] = np.where(hit | (trust > 1), guess, ids)
             self.trust[k][slot] = np.where(hit, np.minimum(trust + 1, 15), np.where(trust > 1, trust // 2, 1))
-        np.add.at(self.count, (b, ids), 1)
         self.last_but[who], self.last[who] = self.last[who], ids
 
-    def rebuild(self) -> None:
-        """Order-0 tables from the counts so far, scaled to 2**16."""
-        total = np.maximum(self.count.sum(axis=1, keepdims=True), 1)
-        kinds = (self.count > 0).sum(axis=1, keepdims=True)
-        share = np.where(self.count > 0, 1 + self.count * np.maximum(_ONE - 1 - kinds, 0) // total, 0)
-        np.cumsum(share, axis=1, out=self.built[:, 1:])
+    def rebuild(self, ids: np.ndarray, length: np.ndarray, since: int, until: int) -> None:
+        """Order-0 tables from all ids so far, scaled to 2**16; those of steps since..until are new."""
+        there = np.arange(since, until)[None, :] < length[:, None]
+        np.add.at(self.count.reshape(-1), (self.block[:, None] * SYMBOLS + ids[:, since:until])[there], 1)
+        for k in range(self.blocks):  # a row at a time stays in cache
+            count = self.count[k]
+            met = np.flatnonzero(count)
+            share = 1 + count[met].astype(np.int64) * max(_ONE - 1 - len(met), 0) // max(int(count[met].sum()), 1)
+            row = self.built[k]
+            row[:] = 0
+            row[met + 1] = share
+            np.cumsum(row, out=row)
+            self.met[k, : len(met)] = met
+            self.edge[k, : len(met)] = row[met]
+            self.edge[k, len(met) :] = _ONE
+            self.coarse[k] = np.maximum(np.searchsorted(self.edge[k, : len(met)], np.arange(0, _ONE + 1, COARSE), side="right") - 1, 0)
 
 
 def _shape(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +194,11 @@ def _run(sizes: list[int], coder: _Coder, ids: np.ndarray) -> np.ndarray:
     """Codes (or, when reading, fills in) ``ids``, lanes x steps."""
     _, length = _shape(sizes)
     model = _Model(len(sizes))
+    built, due = 0, REBUILD
     for step in range(int(length.max(initial=0))):
-        if step % REBUILD == 0 and step:
-            model.rebuild()
+        if step == due:
+            model.rebuild(ids, length, built, step)
+            built, due = step, 2 * step
         who = np.flatnonzero(length > step)
         model.look(who)
         b, n = model.block[who], len(who)
@@ -206,7 +221,7 @@ def _run(sizes: list[int], coder: _Coder, ids: np.ndarray) -> np.ndarray:
         if coder.reading:
             real = np.where(two, model.g2, model.g1)
             if len(old):
-                real[old] = _search(model.built, b[old], coder.target(who[old]))
+                real[old] = _search(model, b[old], coder.target(who[old]))
             if len(new):
                 real[new] = coder.target(who[new])
             ids[who, step] = real
@@ -219,15 +234,14 @@ def _run(sizes: list[int], coder: _Coder, ids: np.ndarray) -> np.ndarray:
     return ids
 
 
-def _search(built: np.ndarray, block: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """The symbol whose range holds the point: last one with a start not above it."""
-    low = np.zeros(len(block), np.int64)
-    step = SYMBOLS >> 1
-    while step:
-        there = low + step
-        low = np.where(built[block, there] <= point, there, low)
-        step >>= 1
-    return low
+def _search(model: _Model, block: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """The symbol whose range holds the point. A symbol is at least one point wide, so few lie in a coarse stretch."""
+    low, high = model.coarse[block, point // COARSE], model.coarse[block, point // COARSE + 1]
+    while (high > low).any():
+        mid = (low + high + 1) >> 1
+        below = model.edge[block, mid] <= point
+        low, high = np.where(below, mid, low), np.where(below, high, mid - 1)
+    return model.met[block, low]
 
 
 def encode_blocks(blocks: list[list[np.ndarray]]) -> list[bytes]:
