@@ -433,3 +433,11 @@ def test_command_line(spark, tmp_path):
 def test_heuristic_plans(people):
     plan = heuristic({"fields": {"amount_": {}, "id": {}}}, MODEL)
     assert set(plan["output_mappings"]) == {"id", "amount"}
+
+
+def test_kept_tables_can_be_released(spark, people):
+    from weftline.graph import keep, release
+
+    release(spark)
+    kept = keep(people)
+    assert kept.count() == 4 and release(spark) == 1 and release(spark) == 0

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``keep`` wrote in this process; to be called once their results are saved. Gives their number."""
+    n = len(_written)
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; one is chosen only where there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,6 +36,7 @@ def keep(df: DataFrame) -> DataFrame:
     df = df.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields))
     path = f"{shared_folder(spark)}/tables/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

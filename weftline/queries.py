@@ -170,7 +170,7 @@ scalar(
     """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS band,
     CASE WHEN p_size > 25 THEN p_brand END AS who, CASE WHEN p_size > 25 THEN 2.0 ELSE 1.0 END::DOUBLE AS twice FROM part""",
 )
-scalar("literal", "region", "r_regionkey", {"source": node("COPY", val("erp")), "n": node("COPY", val(7))}, "SELECT r_regionkey, 'erp' AS source, 7::BIGINT AS n FROM region")
+scalar("literal", "region", "r_regionkey", {"source": node("COPY", val("erp")), "n": node("COPY", val(7))}, "SELECT r_regionkey, 'erp' AS source, 7::INTEGER AS n FROM region")
 _FIELDS = lambda **f: {"fields": {"o_orderkey": {"type": "int"}, **f}}
 scalar("fallback_zero", "orders", "o_orderkey", {"price": node("COPY", col("price"))}, f"SELECT o_orderkey, {_PRICE} AS price FROM orders", _HOLES, **_FIELDS(price={"fallback_strategy": "USE_ZERO"}))
 scalar(
