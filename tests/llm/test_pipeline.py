@@ -36,3 +36,11 @@ def test_nothing_else_imports_the_subpackage():
             text = p.read_text()
             assert "weftline.llm" not in text and ".llm" not in text, p
     assert json.dumps(sorted(queries.QUERIES))
+
+
+def test_tables_can_be_released(spark):
+    from weftline.llm.common import materialise, release
+
+    release(spark)
+    kept = materialise(spark.range(5), "t")
+    assert kept.count() == 5 and release(spark) == 1 and release(spark) == 0

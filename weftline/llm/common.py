@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +37,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and no plan reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
+        _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote; to be called once their results are saved. Gives their number."""
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
 
 
 def let(value: Column, body) -> Column:
