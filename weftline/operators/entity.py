@@ -12,6 +12,7 @@ similar pairs only, in one task for each connected group of values.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,10 +23,26 @@ from pyspark.sql import types as T
 DEFAULT = 0.85
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(leader: pd.Series, other: pd.Series) -> pd.Series:
-    """The ratio of ``SequenceMatcher(None, other, leader)``; the order of arguments matters."""
-    return pd.Series([SequenceMatcher(None, b, a).ratio() if a is not None and b is not None else None for a, b in zip(leader, other, strict=True)], dtype=float)
+def similarity(threshold: float):
+    """The ratio of ``SequenceMatcher(None, other, leader)``; the order of arguments matters.
+
+    Zero where letter counts alone rule the threshold out, which is exact: they bound the ratio.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(leader: pd.Series, other: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=leader.index)
+        for a, rows in leader.groupby(leader).groups.items():
+            match = SequenceMatcher(None, "", a)  # what is known of the second text is kept for all others
+            counts = Counter(a)
+            for i, b in other.loc[rows].items():
+                shared = sum((counts & Counter(b)).values())
+                if 2 * shared >= threshold * (len(a) + len(b)):
+                    match.set_seq1(b)
+                    out[i] = match.ratio()
+        return out
+
+    return ratio
 
 
 def leaders(values: DataFrame, threshold: float) -> DataFrame:
@@ -37,7 +54,7 @@ def leaders(values: DataFrame, threshold: float) -> DataFrame:
     b = ranked.select(F.col("value").alias("b"), F.col("len").alias("lb"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.explode(F.sequence(F.floor(F.col("len") * low).cast("int"), F.ceil(F.col("len") * high).cast("int"))).alias("k"))
     ahead = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))
     pairs = a.join(b, "k").where(ahead & (2 * F.least("la", "lb") >= threshold * (F.col("la") + F.col("lb"))))
-    near = pairs.withColumn("ratio", similarity("a", "b")).where(F.col("ratio") >= threshold)
+    near = pairs.withColumn("ratio", similarity(threshold)("a", "b")).where(F.col("ratio") >= threshold)
     return near.select("a", "b", "na", "fa", "nb", "fb")
 
 
