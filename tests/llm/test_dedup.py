@@ -218,7 +218,7 @@ def test_line_fingerprints(spark, chunk, monkeypatch):
     monkeypatch.setattr(line_module, "CHUNK", chunk)
     r = random.Random(4)
     lines = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(4, 9))) for _ in range(n)) for n in (1, 2, 3, 6, 7, 8, 9, 40, 200)] + ["a", "ab c", "中文" * 90]
-    df = spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(lines)], "rid long, doc_id long, pos int, norm string")
+    df = spark.createDataFrame([(i, 0, i, 0, t) for i, t in enumerate(lines)], "rid long, part int, doc_id long, pos int, norm string")
     rows = sketched(df, (2, 6)).collect()
     assert {(r.rid, r.family): r.fp % 2**64 for r in rows} == {(i, f): line_fp(x) for i, t in enumerate(lines) for f, x in line_features(t.split()).items()}
     assert sorted(r.rid for r in rows if r.main) == list(range(len(lines)))

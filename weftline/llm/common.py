@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Spark's own limit is 100,000.
+BUCKETS_MOST = 1 << 16
 _written: list[str] = []
 
 
@@ -28,17 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     The files survive lost executors; they stay until the shared folder is
     cleaned, as with ``checkpoint()``, since the caller's plan still reads them.
+    With ``bucket`` (a column that is constant in every task) the table is read
+    with that partitioning: a file a task, and nothing is shuffled for it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    table = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{table}"
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not bucket:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = table.replace("-", "_")
+    buckets = min(BUCKETS_MOST, 3 * df.rdd.getNumPartitions() + 1)  # few tasks share one
+    df.write.option("compression", "zstd").bucketBy(buckets, bucket).saveAsTable(table, format="parquet", path=path)
+    out = spark.table(table)
+    out.schema  # resolved: the name is not needed any more, the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
