@@ -187,7 +187,7 @@ def line_fp(features):
 def similar_lines(a, b):
     """Without any fingerprint."""
     x, y = " ".join(a), " ".join(b)
-    if min(len(x), len(y)) > 1000:
+    if min(len(x), len(y)) > 400:
         x, y = a, b
     longest = max(len(x), len(y))
     return abs(len(x) - len(y)) <= longest * 0.2 + 1e-9 and edit(x, y) <= int(longest * 0.2 + 1e-9)
@@ -219,7 +219,7 @@ def test_line_fingerprints(spark, chunk, monkeypatch):
     r = random.Random(4)
     lines = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(4, 9))) for _ in range(n)) for n in (1, 2, 3, 6, 7, 8, 9, 40, 200)] + ["a", "ab c", "中文" * 90]
     df = spark.createDataFrame([(i, 0, i, 0, t) for i, t in enumerate(lines)], "rid long, part int, doc_id long, pos int, norm string")
-    rows = sketched(df, (2, 6)).collect()
+    rows = sketched(df, (2, 6))[0].collect()
     assert {(r.rid, r.family): r.fp % 2**64 for r in rows} == {(i, f): line_fp(x) for i, t in enumerate(lines) for f, x in line_features(t.split()).items()}
     assert sorted(r.rid for r in rows if r.main) == list(range(len(lines)))
     for r in rows:
@@ -251,9 +251,9 @@ def changed_lines(r, n, changes, kind):
     return a, b
 
 
-@pytest.mark.parametrize("plan", [0, 1, 2])
+@pytest.mark.parametrize("plan", [0, 1])
 def test_similar_lines_are_found(spark, plan, monkeypatch):
-    """Recall against edit similarity alone, by length, with the keys for few, many and very many lines."""
+    """Recall against edit similarity alone, by length, with the keys for few and for many lines."""
     monkeypatch.setattr(line_module, "PLANS", ((1 << 62, *line_module.PLANS[plan][1:]),))
     r = random.Random(plan)
     pairs = {}
@@ -270,7 +270,7 @@ def test_similar_lines_are_found(spark, plan, monkeypatch):
         share.setdefault(n, []).append(got[2 * i + 1])
     share = {n: sum(x) / len(x) for n, x in share.items()}
     print(line_module.PLANS, share)
-    assert min(share.values()) >= (0.9, 0.9, 0.8)[plan], share
+    assert min(share.values()) >= 0.9, share
 
 
 @pytest.mark.parametrize("crowd, broadcast", [(16, 1_000_000), (2, 0)])
