@@ -169,10 +169,12 @@ def make_plan(fps: DataFrame, radius: int, n: int) -> list[tuple[list[int], int]
                 gram += bits.T @ bits
                 count += len(v)
         if count:
-            yield pa.record_batch([pa.array([gram.tobytes()]), pa.array([count])], names=["gram", "n"])
+            yield pa.record_batch([pa.array(np.arange(BITS * BITS)), pa.array(gram.ravel())], names=["cell", "s"])
 
-    rows = fps.select("fp").coalesce(max(1, min(fps.rdd.getNumPartitions(), 64))).mapInArrow(moments, "gram binary, n long").collect()  # 32 KB from each of 64 tasks at most
-    gram = sum(np.frombuffer(r["gram"]).reshape(BITS, BITS) for r in rows)
+    cells = fps.select("fp").mapInArrow(moments, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s")).toArrow()  # BITS x BITS rows
+    gram = np.zeros(BITS * BITS)
+    gram[cells["cell"].to_numpy()] = cells["s"].to_numpy()
+    gram = gram.reshape(BITS, BITS)
     p = np.diag(gram) / n
     cov = gram / n - np.outer(p, p)
     sd = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
@@ -264,7 +266,8 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2, id_col:
     prints = materialise(fingerprints(docs, size, id_col, text_col), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "fingerprint-nodes")
     comp = components(links(nodes.select("fp"), radius))
-    named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select(nodes["fp"], "first", F.coalesce("component", nodes["fp"]).alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = materialise(nodes.join(comp, nodes["fp"] == comp["node"], "left").select(nodes["fp"], "first", F.coalesce("component", nodes["fp"]).alias("component")), "fingerprint-names")
+    # written first, so that a very large component's side of the join can be split
+    least = materialise(named.groupBy("component").agg(F.min("first").alias("component_id")), "fingerprint-components")
     by_fp = named.join(least, "component").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
