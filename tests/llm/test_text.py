@@ -210,3 +210,21 @@ def test_search_embeddings(spark, monkeypatch):
     assert search_embeddings(none).count() == 0
     c = sign_codes(df)
     assert top_k(c, every_fiftieth(c).where("id = 100"), 1).collect()[0].id == 100
+
+
+def test_texts_of_very_many_matches(spark):
+    """Positions, added spans and redaction in time that grows with the text only."""
+    import time
+
+    r = random.Random(4)
+    parts = [r.choice([f"mail u{i}@host{i}.org", f"ip 10.{i % 256}.2.3", "call 212-555-0199", f"née {i}", "write to a [at] b.com"]) for i in range(20_000)]
+    text = " ".join(parts)
+    began = time.time()
+    df = spark.createDataFrame([(1, text), (2, "née a@b.org x")], "doc_id long, text string")
+    got = {x.doc_id: x for x in span_digests(df).collect()}
+    want = base_spans(text)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(got[1].spans.split(","))
+    clean = {x.doc_id: x.text for x in redact(df).collect()}
+    assert clean[2] == "née <EMAIL> x" and "@host" not in clean[1] and clean[1].count("<EMAIL>") >= sum(p.startswith("mail") for p in parts)
+    assert clean[1].count("née") == sum(p.startswith("née") for p in parts)
+    assert time.time() - began < 60

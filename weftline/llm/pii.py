@@ -30,6 +30,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import let, materialise
 
@@ -59,29 +60,41 @@ CONTEXT = {
     "phone": r"(?i)(?:phone|call|tel|fax|mobile|cell|telefon|anruf|appel|llame|m[oó]vil|contact)\W{0,4}$",
 }
 CONTEXT_CHARS = 24
+RUN = 64
+#: Texts of more spans than this are cut as arrays of characters.
+FEW_SPANS = 32
 EM_ROUNDS = 30
 ACCEPT = 0.9
 RULE_ERROR = 200
 
 
+def running(values: Column, merge, zero: Column) -> Column:
+    """For each value, all values before it merged (sums, greatest); runs of ``RUN`` values and then their totals, so long arrays take little time."""
+
+    def merged(v: Column, first: Column, end: Column, start: Column) -> Column:  # by index: slicing an array copies all of it
+        return F.when(first >= end, start).otherwise(F.aggregate(F.sequence(first, end - 1), start, lambda a, k: merge(a, F.get(v, k))))
+
+    def of(v: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda c: merged(v, c * RUN, F.least((c + 1) * RUN, F.size(v)), zero))
+        bases = let(totals, lambda t: F.transform(t, lambda _, c: merged(t, F.lit(0), c, zero)))
+        run = lambda i: F.floor(i / RUN).cast("int")
+        return let(bases, lambda b: F.transform(v, lambda _, i: merged(v, run(i) * RUN, i, F.get(b, run(i)))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, of))
+
+
 def _positions(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of all matches."""
+    """array<struct<start, end, found, before, after>> of all matches, with the characters around (of the last two pieces and matches)."""
 
-    def build(t: Column) -> Column:
-        return let(
-            F.struct(F.split(t, pattern, -1).alias("p"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m")),
-            lambda x: F.aggregate(
-                F.transform(x["m"], lambda m, i: F.struct(F.length(x["p"][i]).alias("gap"), m.alias("found"))),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out")),
-                lambda acc, m: F.struct(
-                    (acc["at"] + m["gap"] + F.length(m["found"])).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + F.length(m["found"])).alias("end"), m["found"].alias("found")))).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            ),
-        )
+    def build(x: Column) -> Column:
+        p, m = x["p"], x["m"]
+        size = F.transform(m, lambda f, i: F.length(F.get(p, i)) + F.length(f))
+        near = lambda i: F.right(F.concat(F.coalesce(F.right(F.get(p, i - 1), F.lit(CONTEXT_CHARS)), F.lit("")), F.coalesce(F.get(m, i - 1), F.lit("")), F.get(p, i)), F.lit(CONTEXT_CHARS))
+        after = lambda i: F.left(F.concat(F.left(F.get(p, i + 1), F.lit(1)), F.coalesce(F.left(F.get(m, i + 1), F.lit(1)), F.lit(""))), F.lit(1))
+        one = lambda f, i, at: F.struct(at.alias("start"), (at + F.length(f)).alias("end"), f.alias("found"), near(i).alias("before"), after(i).alias("after"))
+        return let(running(size, lambda a, v: a + v, F.lit(0)), lambda b: F.transform(m, lambda f, i: one(f, i, F.get(b, i) + F.length(F.get(p, i)))))
 
-    return build(text)
+    return let(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), build)
 
 
 def _luhn(digits: Column) -> Column:
@@ -117,7 +130,7 @@ def _candidates(text: Column, kind: str, wider: bool) -> Column:
 
     def full(m: Column) -> Column:
         found, digits = m["found"], F.translate(m["found"], " -+().", "")
-        before = F.substring(text, F.greatest(m["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT_CHARS)))
+        before = m["before"]
         ok = F.lit(False) if wider else _valid(kind, found)
         if kind == "email":
             known = found.rlike(rf"(?i)(?:{DOMAINS})$")
@@ -134,7 +147,7 @@ def _candidates(text: Column, kind: str, wider: bool) -> Column:
             form = _vote(found.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}$"), ~F.length(digits).between(7, 15))
         rule = F.lit("-") if wider else _vote(ok, ~ok)
         context = _vote(before.rlike(CONTEXT[kind]), F.lit(False))
-        after = F.substring(text, m["end"] + 1, F.lit(1))
+        after = m["after"]
         side = lambda c: F.when(c == "", "edge").when(c.rlike(r"\w"), "word").when(c.rlike(r"\s"), "space").otherwise("mark")
         features = F.array(
             F.concat(F.lit("rule="), rule), F.concat(F.lit("lists="), lists), F.concat(F.lit("context="), context), F.concat(F.lit("form="), form),
@@ -234,14 +247,23 @@ _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def decided(found: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
-    """``row``, ``base`` and ``spans``: sorted by start, then kind as listed. Added spans never overlap base ones."""
+    """``row``, ``base`` and ``spans`` of rows (rid, row, found): sorted by start, then kind as listed. Added spans never overlap base ones."""
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int")
     slim = lambda a: F.sort_array(F.transform(a, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     base = F.filter("found", lambda s: s["base"])
-    step = found.select("row", "found", base.alias("b"))
-    apart = lambda s: ~F.exists("b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.when(F.size("found") > F.size("b"), F.filter("found", lambda s: ~s["base"] & _accepted(s, weights) & apart(s))).otherwise(F.array().cast(_SPAN_ARRAY))
-    return step.select("row", slim(F.col("b")).alias("base"), slim(F.concat("b", extra)).alias("spans"))
+    if not weights:
+        return found.select("row", slim(base).alias("base"), slim(base).alias("spans"))
+    # texts with candidates beyond the base ones: a row a span, as every one must be held against the base spans around it
+    some = found.where(F.size("found") > F.size(base)).select("rid", F.explode("found").alias("s")).select("rid", "s", F.col("s.start").alias("start"), F.col("s.base").alias("is_base"))
+    by = Window.partitionBy("rid").orderBy("start", "is_base")
+    reach = F.max(F.when(F.col("is_base"), F.col("s.end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("is_base")).rowsBetween(Window.unboundedPreceding, -1)  # a frame of all that follows would be read anew for every row
+    come = F.min(F.when(F.col("is_base"), F.col("start"))).over(back)
+    apart = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(come, F.col("s.end")) >= F.col("s.end"))
+    extra = some.withColumn("apart", apart).where(~F.col("is_base") & F.col("apart") & _accepted(F.col("s"), weights)).groupBy("rid").agg(F.collect_list("s").alias("extra"))  # of one text
+    joined = found.join(extra, "rid", "left")
+    none = F.array().cast(_SPAN_ARRAY)
+    return joined.select("row", slim(base).alias("base"), slim(F.concat(base, F.coalesce("extra", none))).alias("spans"))
 
 
 def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -250,38 +272,67 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have no spans. Rows are handled one by one: null or
     repeated ids and clashing names do no harm. An empty table gives no rows.
     """
-    found = find_candidates(docs, text_col)
+    found = _numbered(find_candidates(docs, text_col))
     return decided(found, fit(found))
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """With a row number ``rid`` that is fixed by writing it down."""
+    return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
+
+
 def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base counts by kind, base_sha256 and spans of every document."""
-    found = materialise(find_candidates(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), text_col="text").select(F.struct("row.doc_id").alias("row"), "found"), "pii-spans")
+    found = _numbered(find_candidates(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), text_col="text").select(F.struct("row.doc_id").alias("row"), "found"))
     out = decided(found, fit(found))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("row.doc_id", *map(count, KINDS), F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
 
 
+def _tag(span: Column) -> Column:
+    return F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """As in ``redact``, in linear time for any number of spans."""
+
+    def of(x: Column) -> Column:
+        chars, s = x["chars"], x["spans"]
+
+        def joined(reach: Column) -> Column:  # how far the spans before each reach
+            piece = lambda a, b: F.when(a >= b, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.get(chars, k)), ""))
+            gap = lambda i, to: piece(F.get(reach, i), to)
+            one = lambda v, i: F.when(v["start"] < F.get(reach, i), F.lit("")).otherwise(F.concat(gap(i, v["start"]), _tag(v)))
+            last = F.greatest(F.get(reach, F.size(s) - 1), F.get(s, F.size(s) - 1)["end"])
+            rest = piece(last, F.size(chars))
+            return F.concat(F.array_join(F.transform(s, one), ""), rest)
+
+        return let(running(F.transform(s, lambda v: v["end"]), lambda a, v: F.greatest(a, v), F.lit(0)), joined)
+
+    return let(F.struct(F.split(text, "").alias("chars"), spans.alias("spans")), of)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a null text stays null.
 
     Overlapping spans are cut at the first one's end. Other columns are as they were.
     """
     names = docs.columns
-    found = materialise(find_candidates(docs, text_col), "pii-rows")
+    found = _numbered(find_candidates(docs, text_col))
     out = decided(found, fit(found))
     text = F.col(f"row.`{text_col}`")
     parts = F.aggregate(
         F.col("spans"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), _tag(s))).alias("out"))
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
+    parts = F.when(F.size("spans") <= FEW_SPANS, parts).otherwise(_cut(text, F.col("spans")))
     clean = F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(parts)
     return out.select(*(clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names))
