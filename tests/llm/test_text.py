@@ -228,3 +228,15 @@ def test_texts_of_very_many_matches(spark):
     assert clean[2] == "née <EMAIL> x" and "@host" not in clean[1] and clean[1].count("<EMAIL>") >= sum(p.startswith("mail") for p in parts)
     assert clean[1].count("née") == sum(p.startswith("née") for p in parts)
     assert time.time() - began < 60
+
+
+def test_shards_are_searched_side_by_side(spark):
+    rows = [(i, [math.sin(i * j + j) for j in range(1, 33)]) for i in range(20_000)]
+    out = search_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    busy = out.select("query_id").distinct().count()
+    assert busy == 400 and "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(i, "plain words of a text " * 20 + str(i), "en", "s", i, i, i) for i in range(3)], "doc_id long, text string, lang string, source string, __q int, q int, row int")
+    assert keep_good(df).columns == df.columns

@@ -17,12 +17,11 @@ BYTE, WORD, RANKS = (public_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k
 def odd_texts(n=3000):
     r = random.Random(1)
     chars = "abcdefghij ehtsrnio'éü中\U0001f600\x1c\x85　  \n\t 0123́ΣİSTIL²"
-    return ["".join(r.choice(chars) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["a" * 5000, " " * 3000, "=-" * 900, "", "<|endoftext|> x"]
+    return ["".join(r.choice(chars) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["a" * 5000, " " * 3000, "=-" * 900, "", "<|endoftext|> x", "a<|endoftext|>b <|ENDOFTEXT|> c<|startoftext|>  d", "x " * 200 + "<|endoftext|>"]
 
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -20,11 +20,14 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a folder is chosen and set once for the session.
+    It is read from ``spark.checkpoint.dir``; where that is unset on a single
+    machine (tests) a folder is chosen and set once for the session; on a cluster
+    that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"/tmp/weftline-checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -82,14 +82,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def _bins() -> dict[str, Column]:
-    n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     raw = {
         "symbols": F.expr("1000 * n_symbols div greatest(n_words, 1)"),
         "dup_lines": F.expr("1000 * n_dup_lines div greatest(n_lines, 1)"),
         "repeats": F.expr("1000 * n_repeat_words div greatest(n_words, 1)"),
         "word_len": F.expr("10 * word_chars div greatest(n_words, 1)"),
     }
-    del n, lines
     return {k: F.least(c, F.lit(METRICS[k][0] - 1)).cast("int") for k, c in raw.items()}
 
 
@@ -165,16 +163,16 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
     Counts and verdict are per row (not per id): each row is given its verdict
-    from its own counts, so repeated or null ids do no harm. The counts of the
-    first pass are kept only as sketches; texts never shuffle.
+    from its own counts, so repeated or null ids do no harm, and any column names
+    may occur. Rows are written once with their counts; texts never shuffle. An
+    empty table gives no rows.
     """
-    inner = docs.withColumn("__q", F.struct(*(c.alias(k) for k, c in count_columns(docs[text_col]).items())))
-    names = docs.columns
-    row = inner.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"),
-        *(F.col(f"__q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")),
-        F.col("__q.lines.dup").alias("n_dup_lines"), F.col("__q.lines.n").alias("n_lines"),
+    inner = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"), F.struct(*(c.alias(k) for k, c in count_columns(docs[text_col]).items())).alias("q"))
+    counted = inner.select(
+        "row", F.col(f"row.`{lang_col}`").alias("lang"), F.col(f"row.`{source_col}`").alias("source"),
+        *(F.col(f"q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")),
+        F.col("q.lines.dup").alias("n_dup_lines"), F.col("q.lines.n").alias("n_lines"),
     )
-    counted = materialise(row, "quality-rows")
-    limits = materialise(fences(sketches(counted.drop("__row"))), "quality-fences")
-    return judge(counted, limits).where("kept").select("__row.*")
+    counted = materialise(counted, "quality-rows")
+    limits = materialise(fences(sketches(counted.drop("row"))), "quality-fences")
+    return judge(counted, limits).where("kept").select("row.*")

@@ -72,19 +72,22 @@ def packed(ids: list[int]) -> bytes:
 
 
 class LibraryTokenizer:
-    """Ids by the ``tokenizers`` library from a vocabulary file.
+    """Ids by the ``tokenizers`` library from a vocabulary file, as its ``encode`` gives them without added tokens.
 
-    Strings of special tokens in a text count as ordinary text.
+    A text that holds the string of a special token (which the library turns
+    into that token) goes to the library whole; with ``plain`` such strings are ordinary text.
     """
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.special]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special and not plain else lambda text: None
         self.words = words
         self.find = finder(WORD_PATTERN if words else BYTE_PATTERN)
         self.cache: dict[str, bytes] = {}
@@ -99,7 +102,8 @@ class LibraryTokenizer:
         """Per text: its ids as little-endian unsigned 32-bit integers."""
         out = []
         for group in groups_by_size(texts):
-            pieces = [self.find(self.normal(t)) for t in group]
+            whole = {k: packed(self.library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(group) if self.special(t)}
+            pieces = [() if k in whole else self.find(self.normal(t)) for k, t in enumerate(group)]
             cache = self.cache
             new = set().union(*pieces).difference(cache)
             if len(cache) + len(new) > MAX_CACHED:
@@ -110,7 +114,7 @@ class LibraryTokenizer:
                 for p, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
                     cache[p] = packed(e.ids)
             get = cache.__getitem__
-            out += [b"".join(map(get, ps)) for ps in pieces]
+            out += [whole[k] if k in whole else b"".join(map(get, ps)) for k, ps in enumerate(pieces)]
             for p in [p for p in new if len(p) > MAX_PIECE]:
                 del cache[p]
         return out
@@ -149,7 +153,7 @@ class MergeTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         fast = self.core.encode_to_numpy
-        return [self.library.encode([t])[0] if LONG_RUN(t) else fast(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+        return [self.library.encode([t])[0] if LONG_RUN(t) or self.library.special(t) else fast(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
 
 
 def merge_ranks(path: str) -> dict[bytes, int] | None:

@@ -28,7 +28,7 @@ from .common import materialise
 
 SEGMENT = 16
 SHARD_ROWS = 1 << 16
-BLOCK_QUERIES = 1 << 12
+BLOCK_QUERIES = 1 << 16
 AT_ONCE = 128
 _MASKS = [np.array([sum(1 << b for b in some) for some in combinations(range(SEGMENT), r)], np.uint16) for r in range(SEGMENT + 1)]
 
@@ -107,6 +107,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = codes.select("id", "code", part("id", shards).alias("shard"), spread(blocks).alias("block"))
     right = queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"), spread(shards).alias("qshard"), part("id", blocks).alias("qblock"))
+    # a number of partitions that is asked for is not merged, so the shards are searched side by side
+    left, right = left.repartition(2 * shards * blocks, "shard", "block"), right.repartition(2 * shards * blocks, "qshard", "qblock")
 
     def search(_, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
