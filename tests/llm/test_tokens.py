@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from weftline.llm.bpe import bpe_from_file, encode_digests, encode_documents
-from weftline.llm.idfile import decode_blocks, encode_blocks, read_ids, write_ids
+from weftline.llm import idfile
+from weftline.llm.idfile import decode_blocks, decode_rows, encode_blocks, encode_rows, read_ids, write_ids
 from weftline.llm.packing import CAPACITY, deal, differencing, pack
 from weftline.llm.tokens import LibraryTokenizer, MergeTokenizer, byte_tokenizer, public_path
 
@@ -119,3 +120,25 @@ def test_id_files(docs, texts, empty, odd_ids):
     assert (rows["start"] == rows["n_tokens"].cumsum() - rows["n_tokens"]).all()
     assert read_ids(write_ids(empty, WORD)).count() == 0
     assert read_ids(write_ids(odd_ids, WORD), False).count() == 4
+
+
+def test_long_documents_take_many_blocks(spark, monkeypatch, tmp_path):
+    """Memory stays that of the usual blocks; files may be kept under a path."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows = [[rng.zipf(1.4, 700) % 3000 for _ in range(3)] for _ in range(40)]
+    rows.insert(7, [rng.zipf(1.4, 400_000) % 3000])
+    tracemalloc.start()
+    coded = encode_rows(rows)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    assert [[d.tolist() for d in r] for r in decode_rows(coded)] == [[d.tolist() for d in r] for r in rows]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    with pytest.raises(ValueError):
+        encode_blocks([[np.array([1 << 16])]])
+    monkeypatch.setattr(idfile, "BLOCK_IDS", 100)
+    df = spark.createDataFrame([(i, "many words of text " * (i % 5 * 40)) for i in range(20)], "doc_id long, text string")
+    files = write_ids(df, WORD, path=str(tmp_path / "ids"))
+    want = [[*ids, 1] for ids in library(WORD)(["many words of text " * (i % 5 * 40) for i in range(20)])]
+    assert (tmp_path / "ids").exists() and [list(r.ids) for r in sorted(read_ids(files).collect(), key=lambda r: r.start)] == want

@@ -1,9 +1,10 @@
 """Token-id files: an adaptive context-mixing range coder in independent blocks.
 
 A file is a Parquet table with a binary column of blocks; Spark's writer commits
-it, so a lost executor leaves no half-written part. A block holds whole documents
-(about ``BLOCK_IDS`` ids; a longer document is a block of its own) and can be
-read alone:
+it, so a lost executor leaves no half-written part. A row holds whole documents:
+one block of about ``BLOCK_IDS`` ids, or, for a longer document, as many blocks one
+after another as it takes, so no block is longer and memory does not grow with a
+text. Every block can be read alone:
 
     magic "WID1", u32 documents, u32 ids, u32 coded bytes, u32 crc32 of the rest,
     u32 ids of each document, u32 words of each lane, the lanes' words (u16)
@@ -245,7 +246,9 @@ def _search(model: _Model, block: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 def encode_blocks(blocks: list[list[np.ndarray]]) -> list[bytes]:
-    """Payloads of blocks, each a list of documents' ids (below 2**16)."""
+    """Payloads of blocks, each a list of documents' ids; ids of ``SYMBOLS`` or more raise ValueError."""
+    if any(len(d) and int(d.max()) >= SYMBOLS for docs in blocks for d in docs):
+        raise ValueError(f"ids must be below {SYMBOLS}")
     out = []
     for at in range(0, len(blocks), TOGETHER):
         group = blocks[at : at + TOGETHER]
@@ -291,25 +294,61 @@ def decode_blocks(payloads: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
-def write_ids(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all texts and write id files in ascending doc_id order; the table of blocks, read back.
+def split_payload(payload: bytes) -> list[bytes]:
+    """The blocks of a row."""
+    out, at = [], 0
+    while at < len(payload):
+        if len(payload) < at + 20:
+            raise ValueError("damaged block")
+        size = 20 + struct.unpack_from("<4sIIII", payload, at)[3]
+        out.append(payload[at : at + size])
+        at += size
+    return out
+
+
+def encode_rows(rows: list[list[np.ndarray]]) -> list[bytes]:
+    """Payloads of rows of documents' ids; a document of more than ``BLOCK_IDS`` ids is cut into blocks of its own."""
+    blocks: list[list[np.ndarray]] = []
+    number = []
+    for docs in rows:
+        own = [[docs[0][at : at + BLOCK_IDS]] for at in range(0, len(docs[0]), BLOCK_IDS)] if len(docs) == 1 and len(docs[0]) > BLOCK_IDS else [docs]
+        blocks += own
+        number.append(len(own))
+    coded = iter(encode_blocks(blocks))
+    return [b"".join(next(coded) for _ in range(n)) for n in number]
+
+
+def decode_rows(payloads: list[bytes]) -> list[list[np.ndarray]]:
+    """The documents' ids of every row; a damaged block raises ValueError."""
+    cut = [split_payload(p) for p in payloads]
+    back = iter(decode_blocks([b for blocks in cut for b in blocks]))
+    rows = [[next(back) for _ in blocks] for blocks in cut]
+    return [[np.concatenate([b[0] for b in blocks])] if len(blocks) > 1 else blocks[0] for blocks in rows]
+
+
+def write_ids(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Encode all texts and write id files in ascending doc_id order; the table of rows, read back.
 
     Columns: part (in id order), block, doc_ids, n_ids, payload. A null text has
-    the end id only. A null id sorts first. Repeated rows are written each.
+    the end id only. A null id sorts first. Repeated rows are written each, those
+    of one id in the order of their texts' hashes, by several tasks if there are
+    many. With ``path`` the files are written there and stay; else they are an
+    intermediate table of the shared folder.
     """
     spark = docs.sparkSession
-    # ranges of ids, so parts follow one another; rows of one id stay together
-    texts = keyed_texts(docs, id_col, text_col).repartitionByRange(partitions_for(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # ranges of ids, so parts follow one another; the hash lets a very common id be split
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    texts = keyed_texts(docs, id_col, text_col).repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = library_tokenizer(tokenizer_file, True), TaskContext.get().partitionId()
         blocks: list[tuple[list, list[np.ndarray]]] = [([], [])]
-        size, number = 0, 0
+        size, number, full = 0, 0, 0
         end = np.array([END_ID], "<u4")
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            coded = encode_blocks([b for _, b in blocks])
+            coded = encode_rows([b for _, b in blocks])
             rows = pa.record_batch(
                 [
                     pa.array([part] * len(blocks), pa.int32()), pa.array(range(number, number + len(blocks)), pa.int32()), pa.array([k for k, _ in blocks], pa.list_(pa.int64())),
@@ -328,9 +367,10 @@ def write_ids(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
                     for raw in tokenizer.encode(group):
                         ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
                         if size and size + len(ids) > BLOCK_IDS:
-                            if len(blocks) == TOGETHER:
+                            full += max(1, -(-size // BLOCK_IDS))
+                            if full >= TOGETHER:
                                 yield flush()
-                                blocks = []
+                                blocks, full = [], 0
                             blocks.append(([], []))
                             size = 0
                         blocks[-1][0].append(keys[done])
@@ -340,11 +380,19 @@ def write_ids(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
         if blocks[-1][0]:
             yield flush()
 
-    return materialise(texts.mapInArrow(run, "part int, block int, doc_ids array<long>, n_ids long, payload binary"), "id-files")
+    files = texts.mapInArrow(run, "part int, block int, doc_ids array<long>, n_ids long, payload binary")
+    if path is None:
+        return materialise(files, "id-files")
+    files.write.parquet(path)
+    return spark.read.schema(files.schema).parquet(path)
 
 
 def read_ids(files: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of every document."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of every document.
+
+    ``files`` is what ``write_ids`` gives. A null id stays null, repeated ids are
+    rows of their own, an empty table gives no rows, a damaged block raises an error.
+    """
     spark = files.sparkSession
     parts = sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one row a part
     before = np.cumsum([0, *(r["n"] for r in parts)]).tolist()
@@ -355,10 +403,11 @@ def read_ids(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             doc, start, n, crc, lists = [], [], [], [], []
-            for (first, keys, _), docs in zip(waiting, decode_blocks([w[2] for w in waiting]), strict=True):
+            for (first, keys, _), docs in zip(waiting, decode_rows([w[2] for w in waiting]), strict=True):
                 at = first
                 for key, ids in zip(keys, docs, strict=True):
                     raw = ids.astype("<u4")
@@ -379,9 +428,10 @@ def read_ids(files: DataFrame, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for first, keys, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
                 waiting.append((first.as_py(), keys.as_py(), payload.as_py()))
-                if len(waiting) == TOGETHER:
+                size += len(waiting[-1][2])
+                if len(waiting) >= TOGETHER or size >= TOGETHER * BLOCK_IDS:
                     yield flush()
-                    waiting = []
+                    waiting, size = [], 0
         if waiting:
             yield flush()
 
