@@ -41,7 +41,8 @@ def rows_of(frame):
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SF)
     if name not in ORACLES:
-        assert got.columns and got.count() >= 0
+        first, again = (sorted(map(str, df.collect())) for df in (got, QUERIES[name](spark, SF)))
+        assert first and first == again  # chance is a hash: every run gives the same rows
         return
     want = con.execute(ORACLES[name]).df()
     got = got.toPandas()

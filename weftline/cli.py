@@ -26,6 +26,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--target", required=True)
     p.add_argument("--plan", action="append", help="plan file; several are tried in turn")
     p.add_argument("--out", required=True)
+    p.add_argument("--reference", action="append", default=[], metavar="NAME=PATH", help="a Parquet table that foreign keys are checked against")
+    p.add_argument("--row-id", help="column that names a row")
     p.add_argument("--sqlite", help="also append the clean rows to this SQLite file")
     p.add_argument("--retries", type=int, default=2)
     p.add_argument("--delimiter", default=",")
@@ -34,8 +36,9 @@ def main(args: list[str] | None = None) -> int:
     try:
         spark = SparkSession.builder.appName("weftline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         model = Registry(o.registry).get(o.target)
-        source = CsvSource(spark, o.source, o.encoding, o.delimiter).read()
-        done = run_pipeline(source, model, from_files(o.plan) if o.plan else heuristic, max_retries=o.retries)
+        source = spark.read.parquet(o.source) if o.source.rstrip("/").endswith(".parquet") else CsvSource(spark, o.source, o.encoding, o.delimiter).read()
+        references = {n: spark.read.parquet(f) for n, _, f in (r.partition("=") for r in o.reference)}
+        done = run_pipeline(source, model, from_files(o.plan) if o.plan else heuristic, references=references, max_retries=o.retries, row_id=o.row_id)
         write_json(done.report.to_json(), f"{o.out}/audit_{done.report.report_id}.json")
         if done.decision == "PASS":
             write_table(done.clean, f"{o.out}/{model['dataset_name']}")
@@ -43,6 +46,7 @@ def main(args: list[str] | None = None) -> int:
             if o.sqlite:
                 write_sqlite(done.clean, model, o.sqlite)
             return 0
+        write_table(done.quarantine, f"{o.out}/quarantine")  # all of it; the payload is a page for screens
         write_json(payload(done.quarantine, done.report), f"{o.out}/quarantine_payload.json")
         write_json(done.report.to_markdown(), f"{o.out}/audit_{done.report.report_id}.md")
         return 1

@@ -22,9 +22,11 @@ def release(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; one is chosen only where there is none."""
+    """The cluster's ``spark.checkpoint.dir``; one is chosen only on a single machine that has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"/tmp/weftline-checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

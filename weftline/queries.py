@@ -218,8 +218,8 @@ def _join(name: str, sql: str, outputs: tuple[str, ...], prepare=None, left="cus
 _join("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey", ("c_custkey", "o_orderkey"), how="left", left_on="c_custkey", right_on="o_custkey")
 _join("join_inner", "SELECT c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey", ("c_name", "o_orderkey", "o_totalprice"), how="inner", left_on=["c_custkey"], right_on=["o_custkey"])
 _join(
-    "join_outer", "SELECT k, c_name, s_name FROM (SELECT c_nationkey * 10 + c_custkey % 3 AS k, c_name FROM customer WHERE c_custkey <= 200) FULL JOIN (SELECT s_nationkey * 10 AS k, s_name FROM supplier) USING (k)", ("k", "c_name", "s_name"),
-    lambda a, b: (a.where("c_custkey <= 200").select((F.col("c_nationkey") * 10 + F.col("c_custkey") % 3).alias("k"), "c_name"), b.select((F.col("s_nationkey") * 10).cast("long").alias("k"), "s_name")), right="supplier", how="outer", on="k",
+    "join_outer", "SELECT c_custkey AS k, c_name, s_name FROM customer FULL JOIN (SELECT s_suppkey * 20 AS k, s_name FROM supplier) ON c_custkey = k WHERE c_custkey IS NOT NULL UNION ALL SELECT k, NULL, s_name FROM (SELECT s_suppkey * 20 AS k, s_name FROM supplier) WHERE k NOT IN (SELECT c_custkey FROM customer)", ("k", "c_name", "s_name"),
+    lambda a, b: (a.select(F.col("c_custkey").alias("k"), "c_name"), b.select((F.col("s_suppkey") * 20).alias("k"), "s_name")), right="supplier", how="outer", on="k",
 )
 _join("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", ("n_name", "r_name"), left="nation", right="region", how="cross")
 _join("join_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", ("c_custkey", "c_name"), how="left_semi", left_on="c_custkey", right_on="o_custkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..graph import shared_folder
+
 #: Texts that a CSV reader takes for null (fixed values).
 NULL_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -114,11 +117,11 @@ def read_sqlite(spark: SparkSession, path: str, table: str, batch: int = 50_000)
             while got := cur.fetchmany(batch):
                 yield [tuple(str(v) if t and v is not None else v for v, t in zip(r, text, strict=True)) for r in got]
 
-        parts = [spark.createDataFrame(p, schema) for p in rows()]
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        folder = f"{shared_folder(spark)}/tables/sqlite-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(folder)
+        for p in rows():  # written as they come, so the driver holds one batch
+            spark.createDataFrame(p, schema).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def export_sqlite(spark: SparkSession, path: str, folder: str) -> list[str]:
