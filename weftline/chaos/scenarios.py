@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..graph import running
 from .chance import choose, happens, uniform
 from .corruptors import _chance, _pick
 
@@ -18,9 +19,10 @@ def duplicate_import(df: DataFrame, key: str, **_) -> DataFrame:
 
 
 def month_end_truncation(df: DataFrame, key: str, keep_ratio: float = 0.8, **_) -> DataFrame:
-    """The first rows by key only: at least one, ``keep_ratio`` of all."""
+    """The first rows by key only: at least one, ``keep_ratio`` of all. Rows are numbered in parallel; a limit this large is one task."""
     n = df.count()
-    return df.orderBy(key).limit(max(1, int(n * keep_ratio)))
+    tied = df.withColumn("__t", F.monotonically_increasing_id())
+    return running(tied, [F.col(f"`{key}`"), F.col("__t")], {"__n": F.lit(1)}).where(F.col("__n") <= max(1, int(n * keep_ratio))).drop("__t", "__n")
 
 
 def schema_evolution(df: DataFrame, key: str, drift: float = 0.5, seed: int = 42, **_) -> DataFrame:

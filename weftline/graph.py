@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 _written: list[str] = []
@@ -42,6 +43,23 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums (name: summand, null as zero) along ``order``, own row included.
+
+    ``order`` must have no ties. Rows are dealt out by ranges of it, so no task holds
+    the table; each part sums by itself and adds what earlier parts hold, one row a part.
+    """
+    parts = keep(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    upto = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy("__p").agg(*(F.sum(c).alias(f"__e_{n}") for n, c in sums.items()))
+    ends = ends.select(F.col("__p").alias("__q"), *(F.sum(f"__e_{n}").over(before).alias(f"__b_{n}") for n in sums))
+    inside = parts.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    out = inside.join(F.broadcast(ends), F.col("__p") == F.col("__q"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.withColumns({n: zero(n) + zero(f"__b_{n}") for n in sums}).drop("__p", "__q", *(f"__b_{n}" for n in sums))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (u, v): the least node reachable.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.coerce import lit
+from ..graph import running
 from .relational import _listed
 
 FUNCTIONS = ("row_number", "rank", "dense_rank", "sum", "mean", "max", "min", "cumulative_sum")
@@ -66,6 +67,8 @@ def window_apply(args, opts, ctx):
     if isinstance(up, (list, tuple)):
         up = list(up)[len(by) :] if len(up) > len(order) else up
     target = F.col(f"`{opts['target_column']}`")
+    if not by:
+        return _over_all(rel, how, opts["target_column"], order, up, ctx)
     part = Window.partitionBy(*(F.col(f"`{c}`") for c in by))
     held = None
     for c in by:
@@ -84,6 +87,30 @@ def window_apply(args, opts, ctx):
     return ctx.extend(rel, F.when(held, value) if held is not None else value)
 
 
+def _over_all(rel, how, name, order, up, ctx):
+    """The functions over a whole table, without a task that holds all its rows.
+
+    Totals are one aggregated row; running values add up ranges of the order; ranks
+    are found over the distinct values and joined back, so equal values meet nowhere.
+    """
+    target = F.col(f"`{name}`")
+    out = ctx.fresh_name()
+    if how in ("sum", "mean", "max", "min"):
+        total = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[how](target)
+        rel.df = rel.df.crossJoin(F.broadcast(rel.df.agg((F.coalesce(total, F.lit(0)) if how == "sum" else total).alias(out))))
+        return ctx.extend(rel, F.col(out))
+    if how in ("row_number", "cumulative_sum"):
+        rid = ctx.row_ids(rel)
+        rel.df = running(rel.df, [*sorted_by(order, up), F.col(rid)], {out: F.lit(1) if how == "row_number" else target})
+        return ctx.extend(rel, F.col(out) if how == "row_number" else F.when(target.isNotNull(), F.col(out)))
+    values = rel.df.where(target.isNotNull()).groupBy(target.alias("__v")).agg(F.count("*").alias("__n"))
+    first = directions([name], up)[0]
+    summed = running(values, [F.col("__v").asc() if first else F.col("__v").desc()], {out: F.col("__n") if how == "rank" else F.lit(1)})
+    value = F.col(out) - F.col("__n") + 1 if how == "rank" else F.col(out)
+    rel.df = rel.df.join(summed.select("__v", value.cast("double").alias(out)), target == F.col("__v"), "left").drop("__v")
+    return ctx.extend(rel, F.col(out))
+
+
 def order_by(args, opts, ctx):
     """Rows by ``by``, nulls last. With ``reset_index`` (default) rows get new ids in this order."""
     rel, by = ctx.relation(args[0]), _listed(opts["by"])

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.coerce import is_missing, lit, number, whole
-from ..graph import components, keep
+from ..graph import components, keep, running
 from ..operators.registry import OPERATORS
 from .document import Node, Plan, PlanError, order, validate
 
@@ -88,6 +88,9 @@ class Context:
 
     # ---- results ----
 
+    def fresh_name(self) -> str:
+        return f"__s_{self.step}_{next(_ids)}"
+
     def add(self, rel: Relation, value: Column, hint: str = "") -> Series:
         name = f"__s_{hint or self.step}_{next(_ids)}"
         rel.df = rel.df.withColumn(name, value)
@@ -153,9 +156,9 @@ class Context:
         w = Window.partitionBy("__p").orderBy(F.col(rid) if forward else F.col(rid).desc()).rowsBetween(Window.unboundedPreceding, 0)
         filled = df.withColumn("__f", F.last(value, ignorenulls=True).over(w))
         ends = df.where(value.isNotNull()).groupBy("__p").agg((F.max_by if forward else F.min_by)(value, F.col(rid)).alias("__e"))
-        parts = df.select("__p").distinct().select(F.col("__p").alias("__q"))  # at most one row a part
-        before = parts.join(F.broadcast(ends), F.col("__p") < F.col("__q") if forward else F.col("__p") > F.col("__q"))
-        seed = before.groupBy("__q").agg((F.max_by if forward else F.min_by)("__e", "__p").alias("__e"))
+        parts = df.select(F.col("__p").alias("__q")).distinct().join(ends, F.col("__p") == F.col("__q"), "left")  # one row a part
+        others = Window.orderBy(F.col("__q") if forward else F.col("__q").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seed = parts.select("__q", F.last("__e", ignorenulls=True).over(others).alias("__e"))
         name = f"__s_{self.step}_{next(_ids)}"
         rel.df = filled.join(F.broadcast(seed), F.col("__p") == F.col("__q"), "left").withColumn(name, F.coalesce("__f", "__e")).drop("__p", "__q", "__f", "__e")
         return Series(rel, name)
@@ -176,10 +179,10 @@ class Context:
                 other = s.relation.df.select(F.col(self.row_ids(s.relation)).alias("__k"), F.col(f"`{s.name}`").alias(f"{s.name}_j"))
                 base.df = base.df.join(other, F.col(f"`{key}`") == F.col("__k"), "left").drop("__k")
             elif self.positional:
+                number = lambda rel, n: running(rel.df, rel.order or [F.col(self.row_ids(rel))], {n: F.lit(1)})
                 self.row_ids(base), self.row_ids(s.relation)
-                number_of = lambda rel: F.row_number().over(Window.orderBy(*(rel.order or [F.col(self.row_ids(rel))])))
-                other = s.relation.df.withColumn("__k", number_of(s.relation)).select("__k", F.col(f"`{s.name}`").alias(f"{s.name}_j"))
-                base.df = base.df.withColumn("__n", number_of(base)).join(other, F.col("__n") == F.col("__k"), "left").drop("__k", "__n")
+                other = number(s.relation, "__k").select("__k", F.col(f"`{s.name}`").alias(f"{s.name}_j"))
+                base.df = number(base, "__n").join(other, F.col("__n") == F.col("__k"), "left").drop("__k", "__n")
             else:
                 raise CompilationError("columns of unrelated tables cannot stand side by side; join the tables first")
             names.append(f"{s.name}_j")

@@ -221,6 +221,7 @@ _join(
     "join_outer", "SELECT c_custkey AS k, c_name, s_name FROM customer FULL JOIN (SELECT s_suppkey * 20 AS k, s_name FROM supplier) ON c_custkey = k WHERE c_custkey IS NOT NULL UNION ALL SELECT k, NULL, s_name FROM (SELECT s_suppkey * 20 AS k, s_name FROM supplier) WHERE k NOT IN (SELECT c_custkey FROM customer)", ("k", "c_name", "s_name"),
     lambda a, b: (a.select(F.col("c_custkey").alias("k"), "c_name"), b.select((F.col("s_suppkey") * 20).alias("k"), "s_name")), right="supplier", how="outer", on="k",
 )
+_join("join_right", "SELECT o_orderkey, c_name FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN orders ON c_custkey = o_custkey", ("o_orderkey", "c_name"), lambda a, b: (a.where("c_acctbal > 0"), b), how="right", left_on="c_custkey", right_on="o_custkey")
 _join("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region", ("n_name", "r_name"), left="nation", right="region", how="cross")
 _join("join_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", ("c_custkey", "c_name"), how="left_semi", left_on="c_custkey", right_on="o_custkey")
 _join("join_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", ("c_custkey", "c_name"), how="left_anti", left_on="c_custkey", right_on="o_custkey")
@@ -278,11 +279,19 @@ def _(spark, sf):
     return run(df, pick("sums", "user_id", "event_id_mean", "value_min", "value_max", "value_median", "event_type_nunique", "value_first", "value_last"), steps, row_id="event_id")
 
 
+@query("group_by_spread", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS l_quantity_std, round(var_samp(l_quantity), 6) AS l_quantity_var, count(*) AS l_quantity_size, round(product(1 + l_tax / 1000), 6) AS growth_prod FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    df = load(spark, sf, "lineitem").withColumn("growth", 1 + F.col("l_tax") / 1000)
+    steps = {"spread": node("GROUP_BY", tab("source"), by="l_returnflag", agg={"l_quantity": ["std", "var", "size"], "growth": ["prod"]})}
+    out = run(df, pick("spread", "l_returnflag", "l_quantity_std", "l_quantity_var", "l_quantity_size", "growth_prod"), steps)
+    return out.withColumns({c: F.round(c, 6) for c in ("l_quantity_std", "l_quantity_var", "growth_prod")})
+
+
 def _window(name: str, sql: str, **options):
     @query(name, f"SELECT event_id, {sql} AS w FROM (SELECT event_id, value, event_type, CASE WHEN event_id % 13 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 10 <> 0 THEN value END AS v FROM events)")
     def _(spark, sf):
         df = load(spark, sf, "events").withColumn("v", F.when(F.col("event_id") % 10 != 0, F.col("value"))).withColumn("user_id", F.when(F.col("event_id") % 13 != 0, F.col("user_id")))
-        steps = {"w": node("WINDOW_APPLY", tab("source"), partition_by=["user_id"], **{"target_column": "v", **options})}
+        steps = {"w": node("WINDOW_APPLY", tab("source"), **{"partition_by": ["user_id"], "target_column": "v", **options})}
         return run(df, {"event_id": node("COPY", col("event_id")), "w": node("COPY", step("w"))}, steps, row_id="event_id")
 
 
@@ -297,6 +306,20 @@ _window("win_sum", f"CASE WHEN user_id IS NOT NULL THEN sum(event_id) {_OVER}) E
 _window("win_cumsum", f"CASE WHEN user_id IS NOT NULL THEN sum(event_id) {_OVER} ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) END::BIGINT", function="cumulative_sum", target_column="event_id", order_by="value")
 
 
+_window("win_all_row_number", "row_number() OVER (ORDER BY value DESC NULLS LAST, event_id)", function="row_number", order_by=["value"], ascending=False, partition_by=[])
+_window("win_all_cumsum", "sum(event_id) OVER (ORDER BY value, event_id ROWS UNBOUNDED PRECEDING)::BIGINT", function="cumulative_sum", target_column="event_id", order_by="value", partition_by=[])
+_window("win_all_rank", "CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v NULLS LAST) END::DOUBLE", function="rank", partition_by=[])
+_window("win_all_dense_rank", "(dense_rank() OVER (ORDER BY event_type DESC))::DOUBLE", function="dense_rank", target_column="event_type", ascending=False, partition_by=[])
+_window("win_all_max", "(SELECT max(value) FROM events WHERE event_id % 10 <> 0)", function="max", partition_by=[])
+
+
+@query("align_positional", "SELECT a.n_nationkey, r_name FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a LEFT JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name DESC) AS i FROM region) b ON a.i = b.i")
+def _(spark, sf):
+    steps = {"own": node("ORDER_BY", tab("source"), by="n_nationkey", reset_index=False), "names": node("ORDER_BY", tab("region"), by="r_name", ascending=False, reset_index=False)}
+    outputs = {"n_nationkey": node("COPY", step("own"), column="n_nationkey"), "r_name": node("COPY", step("names"), column="r_name")}
+    return run(load(spark, sf, "nation"), outputs, steps, {"region": load(spark, sf, "region")}, positional=True)
+
+
 @query("order_by_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def _(spark, sf):
     steps = {"sorted": node("ORDER_BY", tab("source"), by=["o_totalprice", "o_orderkey"], ascending=[False, True], reset_index=False), "top": node("LIMIT", step("sorted"), n=25)}
@@ -432,10 +455,16 @@ def _(spark, sf):
     return top_values(load(spark, sf, "orders").select("o_orderpriority", "o_orderstatus"))
 
 
-@query("profile_corr")
+@query(
+    "profile_corr",
+    """WITH t AS (SELECT l_quantity AS q, l_quantity * 3 AS triple, l_quantity * 3 + l_tax AS nearly FROM lineitem)
+    SELECT 'l_quantity' AS a, 'triple' AS b, round(abs(corr(q, triple)), 6) AS correlation, round(avg(q / nullif(triple, 0)), 6) AS ratio FROM t
+    UNION ALL SELECT 'l_quantity', 'nearly', round(abs(corr(q, nearly)), 6), round(avg(q / nullif(nearly, 0)), 6) FROM t
+    UNION ALL SELECT 'triple', 'nearly', round(abs(corr(triple, nearly)), 6), round(avg(triple / nullif(nearly, 0)), 6) FROM t""",
+)
 def _(spark, sf):
     df = load(spark, sf, "lineitem").select("l_quantity", "l_discount", (F.col("l_quantity") * 3).alias("triple"), (F.col("l_quantity") * 3 + F.col("l_tax")).alias("nearly"))
-    return correlations(df)
+    return correlations(df).select("a", "b", F.round("correlation", 6).alias("correlation"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(
@@ -498,51 +527,129 @@ def _(spark, sf):
     return scenarios.run_scenario("aggregate_mismatch", df, "c_custkey", group="c_nationkey", amount="amount", total="total").select("c_custkey", "total")
 
 
-@query("scn_schema_evolution")
+@query("scn_schema_evolution", "SELECT o_orderkey, o_custkey AS o_custkey_new, o_orderstatus AS o_orderstatus_v2, o_orderdate AS new_o_orderdate, o_orderpriority AS o_orderpriority_new, NULL::VARCHAR AS new_field FROM orders")
 def _(spark, sf):
-    return scenarios.run_scenario("schema_evolution", load(spark, sf, "customer"), "c_custkey")
+    return scenarios.run_scenario("schema_evolution", load(spark, sf, "orders"), "o_orderkey", drift=0.8)
 
 
-@query(
-    "missingness",
-    f"""SELECT c_custkey, CASE WHEN {_MD5('missing|c_mktsegment', 'c_custkey')} < {int(0.3 * 2**32)} THEN CASE WHEN {_MD5('missing|c_mktsegment|kind', 'c_custkey')} % 10 < 5 THEN NULL WHEN {_MD5('missing|c_mktsegment|kind', 'c_custkey')} % 10 < 8 THEN '' ELSE '0' END ELSE c_mktsegment END AS c_mktsegment FROM customer""",
-)
+_HIT = lambda what, key, p: f"{_MD5(what, key)} < {int(p * 2**32)}"
+
+
+def _one_of(what: str, key: str, *options: str) -> str:
+    return f"[{', '.join(options)}][{_MD5(what, key)} % {len(options)} + 1]"
+
+
+def _missing_sql(c: str, key: str, p: float, name: str, kind: str = "text") -> str:
+    """Column ``c`` (called ``name``) after the missing values of a share ``p``."""
+    n = f"{_MD5(f'missing|{name}|kind', key)} % 10"
+    gone = f"CASE WHEN {n} < 5 THEN NULL WHEN {n} < 8 THEN '' ELSE '0' END" if kind == "text" else f"CASE WHEN {n} >= 8 THEN 0 END"
+    return f"CASE WHEN {_HIT(f'missing|{name}', key, p)} THEN {gone} ELSE {c} END"
+
+
+# The letters beside each letter of the keyboard: left, right, the row above, the row below.
+_KEYS_SQL = """k AS (SELECT * FROM (VALUES (0, 'qwertyuiop'), (1, 'asdfghjkl'), (2, 'zxcvbnm')) t(r, l)),
+  letters AS (SELECT r, l, unnest(range(1, length(l) + 1)) AS i FROM k),
+  near AS (SELECT substr(a.l, i, 1) AS ch, CASE WHEN i > 1 THEN substr(a.l, i - 1, 1) ELSE '' END || substr(a.l, i + 1, 1)
+    || coalesce(substr(up.l, greatest(1, i - 1), i + 2 - greatest(1, i - 1)), '') || coalesce(substr(down.l, greatest(1, i - 1), i + 2 - greatest(1, i - 1)), '') AS beside
+    FROM letters a LEFT JOIN k up ON up.r = a.r - 1 LEFT JOIN k down ON down.r = a.r + 1)"""
+
+
+def _human_sql(table: str, key: str, name: str, p: float) -> str:
+    """``table`` with ``name`` after typing noise, as a subquery; ``near`` must be known."""
+    c, u = name, f"({_MD5(f'human|{name}|kind', key)} / 4294967296.0::DOUBLE)"
+    at = f"(({_MD5(f'human|{name}|at', key)} % greatest(length({c}), 1))::INTEGER + 1)"
+    n = _MD5(f"human|{name}|near", key)
+    letter = f"CASE WHEN beside IS NOT NULL AND {_HIT(f'human|{name}|beside', key, 0.8)} THEN substr(beside, {n} % length(beside) + 1, 1) ELSE substr('abcdefghijklmnopqrstuvwxyz', {n} % 26 + 1, 1) END"
+    typo = f"CASE WHEN length({c}) > 0 THEN substr({c}, 1, {at} - 1) || {letter} || substr({c}, {at} + 1) ELSE {c} END"
+    title = f"array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+    case = _one_of(f"human|{name}|case", key, f"upper({c})", f"lower({c})", title)
+    space = _one_of(f"human|{name}|space", key, f"'  ' || {c}", f"{c} || '  '", f"replace({c}, ' ', '')")
+    short = _one_of(f"human|{name}|short", key, f"substr({c}, 1, 3)", f"substr({c}, 1, 1)")
+    noisy = f"CASE WHEN {u} < 0.45 THEN {typo} WHEN {u} < 0.70 THEN {case} WHEN {u} < 0.90 THEN {space} ELSE {short} END"
+    return f"(SELECT t.* REPLACE (CASE WHEN {_HIT(f'human|{name}', key, p)} THEN {noisy} ELSE {c} END AS {name}) FROM {table} t LEFT JOIN near ON ch = lower(substr({c}, {at}, 1)))"
+
+
+def _scientific_sql(c: str) -> str:
+    """Three digits of a number of two decimals, none or 1 at least, halves away from zero: by whole hundredths."""
+    h = f"round({c} * 100)::BIGINT"
+    d = f"(length(({h})::VARCHAR) - 3)"
+    m = f"(({h} + (10 ** {d})::BIGINT // 2) // (10 ** {d})::BIGINT)"
+    form = lambda m, e: f"({m}) // 100 || '.' || lpad((({m}) % 100)::VARCHAR, 2, '0') || 'e+' || lpad(({e})::INTEGER::VARCHAR, 2, '0')"
+    return f"CASE WHEN {c} = 0 THEN '0.00e+00' WHEN {m} = 1000 THEN {form('100', d + ' + 1')} ELSE {form(m, d)} END"
+
+
+def _sheet_sql(table: str, key: str, p: float, dates=(), numbers=(), texts=()) -> str:
+    """``table`` after what a spreadsheet does to its columns, as a subquery."""
+    hit = lambda c: _HIT(f"sheet|{c}", key, p)
+    form = lambda c: _one_of(f"sheet|{c}|form", key, f"datediff('day', DATE '1899-12-30', {c}::DATE)::VARCHAR", f"strftime({c}, '%-m/%-d/%y')")
+    out = [f"CASE WHEN {hit(c)} THEN {form(c)} ELSE strftime({c}, '%Y-%m-%d') END AS {c}" for c in dates]
+    out += [f"CASE WHEN {hit(c)} THEN {_scientific_sql(c)} ELSE {c}::VARCHAR END AS {c}" for c in numbers]
+    out += [f"CASE WHEN {hit(c)} AND regexp_matches({c}, '^0[0-9]+$') THEN regexp_replace({c}, '^0+(.)', '\\1') ELSE {c} END AS {c}" for c in texts]
+    return f"(SELECT * REPLACE ({', '.join(out)}) FROM {table})"
+
+
+@query("missingness", f"SELECT c_custkey, {_missing_sql('c_mktsegment', 'c_custkey', 0.3, 'c_mktsegment')} AS c_mktsegment FROM customer")
 def _(spark, sf):
     return corruptors.missing_values(load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 0.3)
 
 
-@query("human_noise")
+@query("human_noise", f"WITH {_KEYS_SQL} SELECT * FROM {_human_sql(_human_sql('customer', 'c_custkey', 'c_name', 0.3), 'c_custkey', 'c_mktsegment', 0.3)}")
 def _(spark, sf):
     return corruptors.human_noise(load(spark, sf, "customer"), "c_custkey", 0.3)
 
 
-@query("spreadsheet_noise")
+_CODED = "(SELECT *, lpad(o_custkey::VARCHAR, 6, '0') AS code FROM orders)"
+
+
+@query("spreadsheet_noise", f"SELECT * FROM {_sheet_sql(_CODED, 'o_orderkey', 0.3, ['o_orderdate'], ['o_custkey', 'o_totalprice'], ['o_orderstatus', 'o_orderpriority', 'code'])}")
 def _(spark, sf):
-    return corruptors.spreadsheet_noise(load(spark, sf, "orders"), "o_orderkey", 0.3)
+    return corruptors.spreadsheet_noise(load(spark, sf, "orders").withColumn("code", F.lpad(F.col("o_custkey").cast("string"), 6, "0")), "o_orderkey", 0.3)
 
 
-@query("injected_noise")
+_NOISE = lambda c, changed, plain: f"CASE WHEN NOT {_HIT(f'noise|null|{c}', 'o_orderkey', 0.1)} THEN CASE WHEN {_HIT(f'noise|{c}', 'o_orderkey', 0.2)} THEN {_one_of(f'noise|{c}|form', 'o_orderkey', *changed)} ELSE {plain} END END AS {c}"
+_NOISE_SQL = [
+    *(_NOISE(c, [f"'RM ' || printf('%.2f', {c}::DOUBLE)", f"printf('%.2f', {c}::DOUBLE) || ' MYR'", f"format('{{:,.2f}}', {c}::DOUBLE)"], f"{c}::VARCHAR") for c in ("o_custkey", "o_totalprice")),
+    _NOISE("o_orderdate", [f"strftime(o_orderdate, '{x}')" for x in ("%d/%m/%Y", "%m-%d-%Y", "%Y.%m.%d")], "strftime(o_orderdate, '%Y-%m-%d')"),
+    *(_NOISE(c, [f"regexp_replace({c}, '[aeiouAEIOU]', '', 'g')", f"'  ' || {c} || ' '"], c) for c in ("o_orderstatus", "o_orderpriority")),
+]
+
+
+@query("injected_noise", f"SELECT o_orderkey, {', '.join(_NOISE_SQL)} FROM orders")
 def _(spark, sf):
     return corruptors.inject_noise(load(spark, sf, "orders"), "o_orderkey", 0.2)
 
 
-@query("value_synonyms")
+@query(
+    "value_synonyms",
+    f"""SELECT * REPLACE (CASE WHEN NOT {_HIT('value|c_mktsegment', 'c_custkey', 0.5)} THEN c_mktsegment WHEN c_mktsegment = 'BUILDING' THEN {_one_of('value|c_mktsegment', 'c_custkey', "'bldg'", "'construction'")}
+    WHEN c_mktsegment = 'MACHINERY' THEN 'machines' ELSE c_mktsegment END AS c_mktsegment) FROM customer""",
+)
 def _(spark, sf):
     return corruptors.value_synonyms(load(spark, sf, "customer"), "c_custkey", 0.5, synonyms={"building": ["bldg", "construction"], "machinery": ["machines"]})
 
 
-@query("corruption_log")
+_LOGGED = [f"SELECT c_custkey, '{c}' AS column, {c}::VARCHAR AS a, ({_missing_sql(c, 'c_custkey', 0.1, c, kind)})::VARCHAR AS b FROM customer" for c, kind in (("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"))]
+
+
+@query("corruption_log", f"SELECT c_custkey::VARCHAR AS row, \"column\", 'MISSING' AS corruption_type, a AS original_value, b AS new_value FROM ({' UNION ALL '.join(_LOGGED)}) WHERE a IS DISTINCT FROM b")
 def _(spark, sf):
     df = load(spark, sf, "customer")
     return corruptors.change_log(df, corruptors.missing_values(df, "c_custkey", 0.1), "c_custkey", "MISSING")
 
 
-@query("corrupt_severe")
+_SEVERE = _sheet_sql(_human_sql(_human_sql("orders", "o_orderkey", "o_orderstatus", 0.5), "o_orderkey", "o_orderpriority", 0.5), "o_orderkey", 0.5, ["o_orderdate"], ["o_custkey", "o_totalprice"])
+_RENAMED = {"o_custkey": "o_custkey_v2", "o_orderstatus": "O_ORDERSTATUS", "o_totalprice": "rate", "o_orderdate": "o_orderdate", "o_orderpriority": "O_ORDERPRIORITY"}
+
+
+@query("corrupt_severe", f"WITH {_KEYS_SQL} SELECT o_orderkey, {', '.join(f'{_missing_sql(c, 'o_orderkey', 0.5, c)} AS {n}' for c, n in _RENAMED.items())} FROM {_SEVERE}")
 def _(spark, sf):
     return corruptors.corrupt(load(spark, sf, "orders"), "o_orderkey", "Severe").table
 
 
-@query("chaos_detection")
+_BROKEN = f"SELECT CASE WHEN {_HIT('negative|o_totalprice', 'o_orderkey', 0.2)} THEN o_totalprice * -1.5 - 10 END AS v FROM orders"
+
+
+@query("chaos_detection", f"SELECT count(v) AS corrupted, count(v) FILTER (v < 0) AS detected, (count(v) FILTER (v < 0))::DOUBLE / count(v) AS rate FROM ({_BROKEN})")
 def _(spark, sf):
     model = {"fields": {}, "odcs_contracts": {"row_level_rules": [{"assertion": "non_negative", "column": "o_totalprice"}]}}
     df = load(spark, sf, "orders")
@@ -551,7 +658,19 @@ def _(spark, sf):
     return arena.detection(log, Violations(broken, [Rule.of(r) for r in model["odcs_contracts"]["row_level_rules"]]).flagged(), "o_orderkey")
 
 
-@query("generated_rows")
+@query("broken_dependencies", f"SELECT o_orderkey, CASE WHEN {_HIT('break|0', 'o_orderkey', 0.3)} THEN o_totalprice + 999.99::DOUBLE ELSE o_totalprice END AS o_totalprice, strftime(CASE WHEN {_HIT('break|1', 'o_orderkey', 0.3)} THEN day + 13 ELSE day END, '%Y-%m-%d') AS seen FROM (SELECT *, o_orderdate::DATE AS day FROM orders)")
+def _(spark, sf):
+    day = F.to_date("o_orderdate")
+    df = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", day.alias("day"), day.alias("seen"))
+    rules = [{"assertion": "expression", "formula": "o_totalprice > 0"}, {"assertion": "date_tolerance", "column": "seen", "target_column": "day", "tolerance_window_days": 3}]
+    return corruptors.break_dependencies(df, "o_orderkey", rules, 0.3).select("o_orderkey", "o_totalprice", F.col("seen").cast("string").alias("seen"))
+
+
+@query(
+    "generated_rows",
+    f"""SELECT k AS row_key, 'product_id-' || k AS product_id, {_MD5('order_quantity', 'k')} % 9999 + 1 AS order_quantity, round({_MD5('unit_net_price', 'k')} / 4294967296.0::DOUBLE * 10000.0::DOUBLE, 2) AS unit_net_price,
+    strftime(DATE '2020-01-01' + ({_MD5('arrival_date', 'k')} % 2192)::INTEGER, '%Y-%m-%d') AS arrival_date FROM range(1000) t(k)""",
+)
 def _(spark, sf):
     fields = {"product_id": {"type": "string"}, "order_quantity": {"type": "int"}, "unit_net_price": {"type": "float"}, "arrival_date": {"type": "date"}}
     return arena.generate(spark, {"fields": fields, "odcs_contracts": {"row_level_rules": []}}, 1000)
