@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import graph
 from weftline.chaos import arena, corruptors, scenarios
 from weftline.cli import main
 from weftline.contracts.rules import Rule, Violations
@@ -382,6 +383,51 @@ def test_generated_data_passes_and_broken_data_is_detected(spark, tmp_path):
     assert len(json.loads(path.read_text())) == 2
 
 
+def test_the_log_tells_what_each_corruptor_did(sales):
+    whole = corruptors.corruption_log(sales, "id", "Mild", rules=[{"assertion": "expression", "formula": "amount == id * 1.5"}])
+    kinds = {r.corruption_type: r["count"] for r in whole.groupBy("corruption_type").count().collect()}
+    assert set(kinds) >= {"DEPENDENCY", "HUMAN", "SPREADSHEET", "MISSING"}
+    assert 60 < kinds["DEPENDENCY"] < 140  # the id is the key and stays, so the amount rises
+    assert whole.where("corruption_type = 'SPREADSHEET' AND \"column\" = 'day'".replace('"', "`")).count() < 160  # a date written as its day is no change
+    assert whole.where("row IS NULL").select("corruption_type").distinct().collect() in ([], [("HEADER",)])
+
+
+def test_names_follow_the_longest_word(sales):
+    wide = sales.select("id", F.lit(1).alias("product_id"), F.lit(2).alias("unit_price"))
+    got = corruptors.corrupt_headers(wide, 1.0, key="id").truth
+    back = {clean: messy for messy, clean in got.items()}
+    assert back["product_id"] in corruptors.HEADER_SYNONYMS["product"] and back["unit_price"] in corruptors.HEADER_SYNONYMS["price"]
+
+
+def test_robustness_summary(spark, tmp_path):
+    from weftline.chaos import robustness
+
+    registry, plan, out = tmp_path / "r.json", tmp_path / "p.json", tmp_path / "out"
+    rules = [{"assertion": "not_null", "column": "amount"}, {"assertion": "range", "column": "amount", "min": 1, "max": 50}, {"assertion": "unique", "column": "row_key"}]
+    registry.write_text(json.dumps({"m": {"fields": {"row_key": "int", "amount": "float"}, "odcs_contracts": {"row_level_rules": rules}}}))
+    output = lambda op, c, to: {"operation": op, "inputs": [{"type": "COLUMN_REF", "value": c}], "target_type": to, "options": {}}
+    plan.write_text(json.dumps({"intermediate_steps": {}, "output_mappings": {"row_key": output("COPY", "row_key", "int"), "amount": output("TO_FLOAT", "amount", "float")}}))
+    common = ["--registry", str(registry), "--target", "m", "--key", "row_key", "--plan", str(plan), "--rows", "300", "--drift-ratio", "0", "--out", str(out)]
+    assert robustness.main([*common, "--mode", "all", "--scenario", "duplicate_import"]) == 0
+    first, second = json.loads(next(out.glob("benchmark_summary_*.json")).read_text())
+    assert first["ir_metrics"]["composite_ir_accuracy"] == 1.0 and first["decision"] != "PASS"
+    missing = first["detection_rates"]["MISSING"]
+    assert missing["corrupted"] > 50 and missing["rate"] > 0.8  # nulls and zeros leave the range
+    assert second["detection_rates"]["DUPLICATE_IMPORT"]["corrupted"] == 300 and second["detection_rates"]["DUPLICATE_IMPORT"]["rate"] == 1.0
+    assert len(json.loads((out / "corruptor_benchmark.json").read_text())) == 1
+    model = check_model("m", {"fields": {"amount": "float"}})
+    with pytest.raises(ValueError):
+        robustness.corruptor_run(spark.range(3).withColumn("amount", F.lit(1.0)), model, "id")
+
+
+def test_sums_along_an_order_need_no_large_task(spark):
+    df = spark.range(0, 1000, 1, 7).select("id", (F.col("id") * 7 % 1000).alias("v"), F.when(F.col("id") % 3 != 0, F.lit(2)).alias("x"))
+    got = graph.running(df, [F.col("v").desc()], {"n": F.lit(1), "s": F.col("x")}).orderBy("n").toPandas()
+    assert list(got.n) == list(range(1, 1001)) and list(got.v) == sorted(got.v, reverse=True)
+    assert list(got.s) == list(got.x.fillna(0).cumsum())
+    assert graph.running(df.limit(0), [F.col("v")], {"n": F.lit(1)}).count() == 0
+
+
 # ---- sources, sinks, command line ------------------------------------------------------------
 
 

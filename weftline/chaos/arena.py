@@ -55,7 +55,7 @@ def generate(spark: SparkSession, model: dict[str, Any], rows: int, seed: int =
             return F.concat(F.lit("WH-A-"), k.cast("string"))
         return F.concat(F.lit(f"{f}-"), k.cast("string")) if "id" in f or any(r["assertion"] == "unique" for r in own) else F.concat(F.lit(f"{f} "), (draw(seed, f, k) % 100).cast("string"))
 
-    out = base.select(k, *(value(f, s["type"]).alias(f) for f, s in model["fields"].items()))
+    out = base.select(k, *(value(f, s["type"]).alias(f) for f, s in model["fields"].items() if f != key))
     for r in rules:
         if r["assertion"] == "date_tolerance" and {r["column"], r.get("target_column")} <= set(out.columns):
             near = F.date_add(F.to_date(F.col(r["target_column"])), (draw(seed, f"near|{r['column']}", k) % (int(r.get("tolerance_window_days") or 0) + 1)).cast("int"))

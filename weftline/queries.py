@@ -628,6 +628,17 @@ def _(spark, sf):
     return corruptors.value_synonyms(load(spark, sf, "customer"), "c_custkey", 0.5, synonyms={"building": ["bldg", "construction"], "machinery": ["machines"]})
 
 
+@query("header_noise", "SELECT o_orderkey, o_orderdate AS transaction_date, o_totalprice AS rate FROM orders")
+def _(spark, sf):
+    return corruptors.corrupt_headers(load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), 1.0, key="o_orderkey").table
+
+
+@query("name_drift", "SELECT l_orderkey, l_partkey AS \"Item_Code\", l_quantity AS qty_rcvd FROM lineitem")
+def _(spark, sf):
+    df = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("order_quantity"))
+    return corruptors.drift_names(df, 1.0).table
+
+
 _LOGGED = [f"SELECT c_custkey, '{c}' AS column, {c}::VARCHAR AS a, ({_missing_sql(c, 'c_custkey', 0.1, c, kind)})::VARCHAR AS b FROM customer" for c, kind in (("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"))]
 
 
