@@ -157,6 +157,25 @@ def test_the_model_predicts_held_out_text_better(spark):
     assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.1 * sum(x.n_tokens for x in got)
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    a, b = ({r.doc_id: r.score for r in score_documents(docs.repartition(n)).collect()} for n in (1, 6))
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-5) for i in a)
+
+
+def test_words_of_a_class_share_its_probability():
+    counts, classes = np.array([50, 9, 9, 7, 3, 2, 1, 1] * 40), np.array([0, 1] * 160)
+    classes[:3] = 2
+    trees = lm.Trees(classes, counts, 10_000)
+    weights = np.random.default_rng(1).normal(0, 1, (2, trees.rows, lm.BRANCH)).astype(np.float32)
+    ids, one, two = np.arange(len(counts)), np.full(len(counts), 5), np.full(len(counts), 9)
+    logp = np.zeros(len(counts))
+    for at, node, child, a, b in trees.steps(ids, one, two):
+        z = trees.logits(weights, node, a, b).astype(float)
+        logp[at] += z[np.arange(len(z)), child] - np.log(np.exp(z).sum(axis=1))
+    for c in range(3):
+        assert abs(np.exp(logp[classes == c]).sum() - 1) < 1e-4
+
+
 def test_scores_edge_cases(empty, odd_ids):
     assert score_documents(empty).count() == 0
     assert sorted(r.n_tokens for r in score_documents(odd_ids).collect()) == [1, 5, 5, 5]
