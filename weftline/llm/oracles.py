@@ -67,3 +67,34 @@ def _quality_sql() -> str:
 
 
 ORACLES["op7_quality_rules"] = _quality_sql()
+
+ORACLES["op12_gap_sessions"] = """
+WITH RECURSIVE base AS (
+  SELECT click_id, client_id, epoch_us(ts) AS us, epoch_us(arrived_at) - epoch_us(ts) > 900000000 AS late,
+    coalesce(floor(100 * value + 0.5), 0)::BIGINT AS cents, coalesce(value >= 60 AND kind IN ('purchase', 'signup'), false) AS final
+  FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ts, client_id, arrived_at, value) AS rn FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL) WHERE rn = 1
+), timely AS (
+  SELECT *, row_number() OVER w AS i, coalesce(lag(final) OVER w OR us - lag(us) OVER w >= 900000000, true) AS broken FROM base WHERE NOT coalesce(late, false) WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)
+), runs AS (
+  SELECT *, sum(broken::BIGINT) OVER (PARTITION BY client_id ORDER BY i) AS run FROM timely
+), jumps AS (
+  SELECT a.client_id, a.i, min(b.i) AS j FROM runs a JOIN runs b ON a.client_id = b.client_id AND a.run = b.run AND a.us + 3600000000 < b.us GROUP BY ALL
+), starts AS (
+  SELECT client_id, i FROM runs WHERE broken
+  UNION
+  SELECT s.client_id, j.j FROM starts s JOIN jumps j ON s.client_id = j.client_id AND s.i = j.i
+), held AS (
+  SELECT r.*, max(s.i) OVER (PARTITION BY r.client_id ORDER BY r.i) AS s, lead(r.us) OVER (PARTITION BY r.client_id ORDER BY r.i) AS next_us
+  FROM runs r LEFT JOIN starts s ON r.client_id = s.client_id AND r.i = s.i
+), found AS (
+  SELECT client_id, s, min_by(click_id, i) AS session_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_clicks, sum(cents)::BIGINT AS value_cents,
+    CASE WHEN max_by(final, i) THEN 'end' WHEN max(next_us) IS NULL OR max_by(coalesce(next_us, -1), i) = -1 THEN 'none' WHEN max_by(next_us, i) - max(us) >= 900000000 THEN 'gap' ELSE 'length' END AS closed_by,
+    sha256(string_agg(click_id::VARCHAR, ',' ORDER BY i)) AS path_sha256
+  FROM held GROUP BY client_id, s
+), spans AS (
+  SELECT *, lead(start_us) OVER (PARTITION BY client_id ORDER BY s) AS until FROM found
+)
+SELECT f.client_id, session_id, start_us, end_us, n_clicks, count(b.us) AS n_late, value_cents, closed_by, path_sha256
+FROM spans f LEFT JOIN (SELECT client_id, us FROM base WHERE late) b ON b.client_id = f.client_id AND b.us >= f.start_us AND (f.until IS NULL OR b.us < f.until)
+GROUP BY ALL
+"""

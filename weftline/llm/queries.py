@@ -78,6 +78,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op12_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sessions import session_digests
+
+    return session_digests(table(spark, sf_dir, "clicks"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened_embeddings
+
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,4 +107,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_gap_sessions": op12_gap_sessions,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
