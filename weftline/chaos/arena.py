@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import hidden
 from ..mapping import lineage
 from ..plans.document import Plan, read_plan
 from .chance import draw, happens, uniform
@@ -99,9 +100,9 @@ def accuracy(plan: Plan | str | dict, model: dict[str, Any], truth: dict[str, st
 
 def detection(log: DataFrame, violations: DataFrame, key: str) -> DataFrame:
     """corrupted, detected and their ratio: how many corrupted rows a contract caught."""
-    hit = violations.where(F.size("_violations") > 0).select(F.col(key).cast("string").alias("__k"))
-    rows = log.select("row").distinct().join(hit.distinct().withColumn("__hit", F.lit(1)), F.col("row") == F.col("__k"), "left")
-    return rows.agg(F.count("*").alias("corrupted"), F.count("__hit").alias("detected")).withColumn("rate", F.try_divide(F.col("detected").cast("double"), F.col("corrupted").cast("double")))
+    hit = violations.where(F.size("_violations") > 0).select(F.col(key).cast("string").alias(hidden("k")))
+    rows = log.select("row").distinct().join(hit.distinct().withColumn(hidden("hit"), F.lit(1)), F.col("row") == F.col(hidden("k")), "left")
+    return rows.agg(F.count("*").alias("corrupted"), F.count(hidden("hit")).alias("detected")).withColumn("rate", F.try_divide(F.col("detected").cast("double"), F.col("corrupted").cast("double")))
 
 
 @dataclass

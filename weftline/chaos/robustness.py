@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import keep
+from ..graph import hidden, keep
 from ..mapping import from_files, heuristic
 from ..ontology import Registry
 from ..pipeline import run_pipeline
@@ -32,9 +32,9 @@ SAMPLE = 20  # rows of the log shown in a summary
 def detection_rates(log: DataFrame, caught: DataFrame, key: str) -> DataFrame:
     """corruption_type, corrupted, detected, rate: of the distinct rows each corruptor changed, those set aside."""
     rows = log.where("row IS NOT NULL").select("corruption_type", "row").distinct()
-    hit = caught.select(F.col(f"`{key}`").cast("string").alias("__k")).distinct().withColumn("__hit", F.lit(1))
-    met = rows.join(hit, F.col("row") == F.col("__k"), "left").groupBy("corruption_type")
-    return met.agg(F.count("*").alias("corrupted"), F.count("__hit").alias("detected")).withColumn("rate", F.col("detected") / F.col("corrupted"))
+    hit = caught.select(F.col(f"`{key}`").cast("string").alias(hidden("k"))).distinct().withColumn(hidden("hit"), F.lit(1))
+    met = rows.join(hit, F.col("row") == F.col(hidden("k")), "left").groupBy("corruption_type")
+    return met.agg(F.count("*").alias("corrupted"), F.count(hidden("hit")).alias("detected")).withColumn("rate", F.col("detected") / F.col("corrupted"))
 
 
 def _scored(messy: Corrupted, log: DataFrame, model: dict[str, Any], key: str, provider: Callable, **how) -> dict[str, Any]:

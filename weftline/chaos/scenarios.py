@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..graph import running
+from ..graph import hidden, running
 from .chance import choose, happens, uniform
 from .corruptors import _chance, _pick
 
@@ -21,8 +21,8 @@ def duplicate_import(df: DataFrame, key: str, **_) -> DataFrame:
 def month_end_truncation(df: DataFrame, key: str, keep_ratio: float = 0.8, **_) -> DataFrame:
     """The first rows by key only: at least one, ``keep_ratio`` of all. Rows are numbered in parallel; a limit this large is one task."""
     n = df.count()
-    tied = df.withColumn("__t", F.monotonically_increasing_id())
-    return running(tied, [F.col(f"`{key}`"), F.col("__t")], {"__n": F.lit(1)}).where(F.col("__n") <= max(1, int(n * keep_ratio))).drop("__t", "__n")
+    tied = df.withColumn(hidden("t"), F.monotonically_increasing_id())
+    return running(tied, [F.col(f"`{key}`"), F.col(hidden("t"))], {hidden("n"): F.lit(1)}).where(F.col(hidden("n")) <= max(1, int(n * keep_ratio))).drop(hidden("t"), hidden("n"))
 
 
 def schema_evolution(df: DataFrame, key: str, drift: float = 0.5, seed: int = 42, **_) -> DataFrame:
@@ -52,10 +52,10 @@ def delayed_reporting(df: DataFrame, key: str, date_column: str, days: int = 7,
 
 def aggregate_mismatch(df: DataFrame, key: str, group: str, amount: str, total: str, probability: float = 0.3, seed: int = 42, **_) -> DataFrame:
     """Stated group totals that are off in some groups. Totals are summed before they meet the rows."""
-    sums = df.groupBy(F.col(f"`{group}`").alias("__g")).agg(F.sum(F.col(f"`{amount}`").cast("double")).alias("__t"))
-    g = F.col("__g")
-    off = F.when(happens(seed, "mismatch", g, probability), F.col("__t") * (uniform(seed, "mismatch|by", g) + 0.5)).otherwise(F.col("__t"))
-    return df.join(sums.withColumn("__t", off), F.col(f"`{group}`") == g, "left").withColumn(total, F.col("__t")).drop("__g", "__t")
+    sums = df.groupBy(F.col(f"`{group}`").alias(hidden("g"))).agg(F.sum(F.col(f"`{amount}`").cast("double")).alias(hidden("t")))
+    g = F.col(hidden("g"))
+    off = F.when(happens(seed, "mismatch", g, probability), F.col(hidden("t")) * (uniform(seed, "mismatch|by", g) + 0.5)).otherwise(F.col(hidden("t")))
+    return df.join(sums.withColumn(hidden("t"), off), F.col(f"`{group}`") == g, "left").withColumn(total, F.col(hidden("t"))).drop(hidden("g"), hidden("t"))
 
 
 SCENARIOS: dict[str, Callable[..., DataFrame]] = {

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..graph import hidden
 from ..functions.coerce import as_date, is_missing, java_pattern
 from ..functions.expressions import ExpressionError, parse
 
@@ -119,9 +120,9 @@ class Violations:
         ref = self.references.get(r.target_entity or "")
         if ref is None:
             return c.isNotNull()
-        mark = f"__fk_{len(self.flags)}"
-        keys = ref.select(F.col(f"`{ref.columns[0]}`").cast(self._kind(r.column)).alias("__key")).where("__key IS NOT NULL").distinct().withColumn(mark, F.lit(True))
-        self.df = self.df.join(keys, c == F.col("__key"), "left").drop("__key")
+        mark = hidden(f"fk_{len(self.flags)}")
+        keys = ref.select(F.col(f"`{ref.columns[0]}`").cast(self._kind(r.column)).alias(hidden("key"))).where(F.col(hidden("key")).isNotNull()).distinct().withColumn(mark, F.lit(True))
+        self.df = self.df.join(keys, c == F.col(hidden("key")), "left").drop(hidden("key"))
         return c.isNotNull() & F.col(mark).isNull()
 
     def _pattern(self, r: Rule) -> Column | None:
@@ -129,12 +130,12 @@ class Violations:
 
     def _unique(self, r: Rule) -> Column:
         """All copies of a value, nulls among one another too. Repeated values are found by a pre-aggregated count, so a common value is no single task's work."""
-        mark = f"__dup_{len(self.flags)}"
+        mark = hidden(f"dup_{len(self.flags)}")
         c = self._c(r.column)
-        often = self.df.groupBy(c.alias("__key")).count().where("count > 1").select("__key", F.lit(True).alias(mark))
-        nulls = often.where("__key IS NULL").select(F.col(mark).alias(f"{mark}_n"))
+        often = self.df.groupBy(c.alias(hidden("key"))).count().where("count > 1").select(hidden("key"), F.lit(True).alias(mark))
+        nulls = often.where(F.col(hidden("key")).isNull()).select(F.col(mark).alias(f"{mark}_n"))
         # at most one row, for nulls, so they need no null-safe join, which could not spread them
-        self.df = self.df.join(often.where("__key IS NOT NULL"), c == F.col("__key"), "left").drop("__key").join(F.broadcast(nulls.agg(F.max(f"{mark}_n").alias(f"{mark}_n"))))
+        self.df = self.df.join(often.where(F.col(hidden("key")).isNotNull()), c == F.col(hidden("key")), "left").drop(hidden("key")).join(F.broadcast(nulls.agg(F.max(f"{mark}_n").alias(f"{mark}_n"))))
         return F.when(c.isNull(), F.col(f"{mark}_n").isNotNull()).otherwise(F.col(mark).isNotNull())
 
     def _cross_field(self, r: Rule) -> Column | None:
@@ -164,5 +165,5 @@ class Violations:
         marks = [F.when(flag, F.lit(i)) for i, (_, flag) in enumerate(self.flags)]
         array = F.filter(F.array(*marks), lambda x: x.isNotNull()) if marks else F.array().cast("array<int>")
         labels = F.array(*(F.lit(r.label) for r, _ in self.flags)) if self.flags else F.array().cast("array<string>")
-        coded = self.df.select(*(self._c(c) for c in self.base), array.alias("__codes"))
-        return coded.select(*(self._c(c) for c in self.base), F.transform("__codes", lambda i: labels[i]).alias(name), "__codes")
+        coded = self.df.select(*(self._c(c) for c in self.base), array.alias(hidden("codes")))
+        return coded.select(*(self._c(c) for c in self.base), F.transform(hidden("codes"), lambda i: labels[i]).alias(name), hidden("codes"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ExpressionError, parse
-from ..graph import keep
+from ..graph import hidden, keep
 from .rules import Rule, Violations
 
 log = logging.getLogger(__name__)
@@ -139,7 +139,7 @@ def evaluate(df: DataFrame, contracts: dict[str, Any], references: dict[str, Dat
     inv, notes = _invariant_columns(df, invariants)
     sums = [d for d in contracts.get("dataset_level_rules", ()) if d.get("metric") == "sum_alignment" and d.get("target_sum_column") in df.columns]
     aggs = [F.count("*").alias("n")]
-    aggs += [F.coalesce(F.sum(F.array_contains("__codes", i).cast("long")), F.lit(0)).alias(f"r{i}") for i in range(len(v.flags))]
+    aggs += [F.coalesce(F.sum(F.array_contains(hidden("codes"), i).cast("long")), F.lit(0)).alias(f"r{i}") for i in range(len(v.flags))]
     aggs += [F.coalesce(F.sum(F.col(f"`{d['target_sum_column']}`").cast("double")), F.lit(0.0)).alias(f"s{i}") for i, d in enumerate(sums)]
     aggs += [c.alias(f"i{i}_{j}") for i, cols in inv.items() for j, c in enumerate(cols)]
     got = flagged.agg(*aggs).first()
@@ -183,8 +183,8 @@ def evaluate(df: DataFrame, contracts: dict[str, Any], references: dict[str, Dat
         if d.get("type") == "inventory_non_negative" and {"product_id", "quantity"} <= set(df.columns) and negative_stock(df).limit(1).count():
             failed.append({"rule": "inventory_non_negative", "error": "a product's quantities sum to less than zero"})
 
-    out = F.exists("__codes", lambda c: c.isin(*hard)) if hard else F.lit(False)
-    table = flagged.withColumn("_quarantined", out).drop("__codes")
+    out = F.exists(hidden("codes"), lambda c: c.isin(*hard)) if hard else F.lit(False)
+    table = flagged.withColumn("_quarantined", out).drop(hidden("codes"))
     quarantined = table.where("_quarantined").count() if hard else 0
     s, decision = score(total, quarantined, warned, bool(failed), confidence)
     return Evaluation(Report(decision, s, total, quarantined, failed, errors, warnings), table)

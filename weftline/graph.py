@@ -11,6 +11,17 @@ from pyspark.sql.window import Window
 
 
 _written: list[str] = []
+#: Part of every internal column's name, so that no user's column can bear one.
+_TOKEN = uuid.uuid4().hex[:12]
+
+
+def hidden(name: str) -> str:
+    """The name of an internal column."""
+    return f"__{_TOKEN}_{name}"
+
+
+def is_hidden(name: str) -> bool:
+    return name.startswith(f"__{_TOKEN}_")
 
 
 def release(spark: SparkSession) -> int:
@@ -49,15 +60,15 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     ``order`` must have no ties. Rows are dealt out by ranges of it, so no task holds
     the table; each part sums by itself and adds what earlier parts hold, one row a part.
     """
-    parts = keep(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    upto = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    ends = parts.groupBy("__p").agg(*(F.sum(c).alias(f"__e_{n}") for n, c in sums.items()))
-    ends = ends.select(F.col("__p").alias("__q"), *(F.sum(f"__e_{n}").over(before).alias(f"__b_{n}") for n in sums))
+    parts = keep(df.repartitionByRange(*order).withColumn(hidden("p"), F.spark_partition_id()))
+    upto = Window.partitionBy(hidden("p")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(hidden("p")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy(hidden("p")).agg(*(F.sum(c).alias(hidden(f"e_{n}")) for n, c in sums.items()))
+    ends = ends.select(F.col(hidden("p")).alias(hidden("q")), *(F.sum(hidden(f"e_{n}")).over(before).alias(hidden(f"b_{n}")) for n in sums))
     inside = parts.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
-    out = inside.join(F.broadcast(ends), F.col("__p") == F.col("__q"))
+    out = inside.join(F.broadcast(ends), F.col(hidden("p")) == F.col(hidden("q")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.withColumns({n: zero(n) + zero(f"__b_{n}") for n in sums}).drop("__p", "__q", *(f"__b_{n}" for n in sums))
+    return out.withColumns({n: zero(n) + zero(hidden(f"b_{n}")) for n in sums}).drop(hidden("p"), hidden("q"), *(hidden(f"b_{n}") for n in sums))
 
 
 def components(edges: DataFrame) -> DataFrame:

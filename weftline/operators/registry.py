@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from . import entity, relational, scalar, window
+from . import bags, entity, meeting, relational, scalar, window
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,13 @@ OPERATORS: dict[str, Operator] = {
     "CASE_WHEN": Operator(scalar.case_when, 0, ("cases",)),
     "FILTER": Operator(relational.filter_rows, required=("condition",), table=True),
     "JOIN": Operator(relational.join, 2, table=True, check=relational.check_join),
+    "RANGE_JOIN": Operator(meeting.range_join, 2, table=True, check=meeting.check_range_join),
+    "ASOF_JOIN": Operator(meeting.asof_join, 2, table=True, check=meeting.check_asof_join),
+    "THETA_JOIN": Operator(meeting.theta_join, 2, ("condition",), table=True, check=meeting.check_theta_join),
     "UNION": Operator(relational.union, 2, table=True),
-    "GROUP_BY": Operator(relational.group_by, required=("by", "agg"), table=True),
+    "INTERSECT": Operator(bags.intersect, 2, table=True),
+    "EXCEPT": Operator(bags.except_, 2, table=True),
+    "GROUP_BY": Operator(relational.group_by, required=("by", "agg"), table=True, check=relational.check_group_by),
     "EXPLODE": Operator(relational.explode, required=("column",), table=True),
     "PIVOT": Operator(relational.pivot, required=("index", "columns", "values"), table=True),
     "UNPIVOT": Operator(relational.unpivot, required=("id_vars",), table=True),

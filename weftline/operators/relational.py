@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..graph import hidden
 from ..functions.coerce import java_pattern, strip
 from ..functions.expressions import parse
 
@@ -100,8 +101,32 @@ def _aggregate(df: DataFrame, c: str, how: str, rid: str | None) -> Column:
     return simple[how](v)
 
 
+def check_group_by(opts) -> list[str]:
+    sets, by = opts.get("sets"), _listed(opts.get("by"))
+    if sets is None:
+        return ["grouping_id, null_keys need sets"] if opts.get("grouping_id") else []
+    if isinstance(sets, str):
+        return [] if sets in ("cube", "rollup") else ["sets is cube, rollup or a list of lists of keys"]
+    if not isinstance(sets, list) or not all(isinstance(x, list) for x in sets) or not sets:
+        return ["sets is cube, rollup or a list of lists of keys"]
+    return [f"sets: {c!r} is not in by" for x in sets for c in x if c not in by]
+
+
+def _grouping_sets(df: DataFrame, by: list[str], opts) -> DataFrame:
+    """Rows ready to be grouped by several sets of keys at once (one Expand, one shuffle)."""
+    keys, sets = [F.col(f"`{k}`") for k in by], opts["sets"]
+    if isinstance(sets, str):
+        return df.cube(*keys) if sets == "cube" else df.rollup(*keys)
+    return df.groupingSets([[F.col(f"`{c}`") for c in x] for x in sets], *keys)
+
+
 def group_by(args, opts, ctx):
-    """``agg``: column to function, or to a list (named ``column_function``). Rows with a null key are left out."""
+    """``agg``: column to function, or to a list (named ``column_function``). Rows with a null key are left out.
+
+    ``sets`` (cube, rollup, or lists of keys) gives a row for the groups of each set, other keys null.
+    ``null_keys: true`` then keeps null keys, and ``grouping_id`` names a column that tells them from the
+    nulls of subtotals: one bit a key, first key highest, 1 where the key is summed over.
+    """
     rel, by = ctx.relation(args[0]), _listed(opts["by"])
     agg = opts["agg"] if isinstance(opts["agg"], dict) else None
     if agg is None:
@@ -115,6 +140,10 @@ def group_by(args, opts, ctx):
         for c, v in agg.items() for how in _listed(v)
     ]
     kept = reduce(lambda x, y: x & y, (F.col(f"`{k}`").isNotNull() for k in by))
+    if opts.get("sets"):
+        if opts.get("grouping_id"):
+            out.append(F.grouping_id().alias(opts["grouping_id"]))
+        return ctx.fresh(_grouping_sets(df if opts.get("null_keys") else df.where(kept), by, opts).agg(*out))
     return ctx.fresh(df.where(kept).groupBy(*(F.col(f"`{k}`") for k in by)).agg(*out))
 
 
@@ -122,9 +151,9 @@ def explode(args, opts, ctx):
     """One row for each part of ``column`` split at ``delimiter``; a longer delimiter is a pattern. Null words become null."""
     rel, c, by = ctx.relation(args[0]), opts["column"], opts.get("delimiter", ",")
     parts = F.split(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), rf"\Q{by}\E" if len(by) == 1 else java_pattern(by), -1)
-    part = strip(F.col("__part"))
+    part = strip(F.col(hidden("part")))
     null = part.isin("", "nan", "None")
-    out = rel.df.withColumn("__part", F.explode(parts)).withColumn(c, F.when(~null, part)).drop("__part")
+    out = rel.df.withColumn(hidden("part"), F.explode(parts)).withColumn(c, F.when(~null, part)).drop(hidden("part"))
     return ctx.derive(rel, out)
 
 
@@ -140,9 +169,9 @@ def pivot(args, opts, ctx):
     value = _aggregate(df, v, how, None)
     if how == "sum":
         value = F.when(F.count(F.lit(1)) > 0, value)
-    grouped = df.where(kept).withColumn("__column", F.col(f"`{c}`").cast("string")).groupBy(*(F.col(f"`{k}`") for k in index))
+    grouped = df.where(kept).withColumn(hidden("column"), F.col(f"`{c}`").cast("string")).groupBy(*(F.col(f"`{k}`") for k in index))
     names = [str(x) for x in opts["pivot_values"]] if opts.get("pivot_values") else None
-    return ctx.fresh(grouped.pivot("__column", names).agg(value))
+    return ctx.fresh(grouped.pivot(hidden("column"), names).agg(value))
 
 
 def unpivot(args, opts, ctx):

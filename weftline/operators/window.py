@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.coerce import lit
-from ..graph import running
+from ..graph import hidden, running
+from . import frames
 from .relational import _listed
 
-FUNCTIONS = ("row_number", "rank", "dense_rank", "sum", "mean", "max", "min", "cumulative_sum")
+FUNCTIONS = ("row_number", "rank", "dense_rank", "sum", "mean", "max", "min", "cumulative_sum", *frames.FRAMED)
 
 
 def check_window(opts) -> list[str]:
-    return [] if opts.get("function") in FUNCTIONS else [f"unknown window function {opts.get('function')!r}"]
+    if opts.get("function") not in FUNCTIONS:
+        return [f"unknown window function {opts.get('function')!r}"]
+    return frames.check_frame(opts)
 
 
 def check_fill(opts) -> list[str]:
@@ -59,7 +64,8 @@ def window_apply(args, opts, ctx):
     ``row_number`` orders by ``order_by`` (ties by row); ranks are those of
     ``target_column``; ``sum mean max min`` are over the whole partition;
     ``cumulative_sum`` runs in order, null where the value is null. ``ascending``
-    covers partition keys first if it is a list.
+    covers partition keys first if it is a list. ``lag`` and ``lead`` take ``offset`` and ``default``, ``ntile``
+    takes ``buckets``; ``sum mean max min count`` take a ``frame`` (kind rows or range, start, end) along ``order_by``.
     """
     rel, how = ctx.relation(args[0]), opts["function"]
     by, order = _listed(opts.get("partition_by")), _listed(opts.get("order_by"))
@@ -67,6 +73,8 @@ def window_apply(args, opts, ctx):
     if isinstance(up, (list, tuple)):
         up = list(up)[len(by) :] if len(up) > len(order) else up
     target = F.col(f"`{opts['target_column']}`")
+    if how in frames.FRAMED or opts.get("frame"):
+        return _framed(rel, how, target, by, order, up, opts, ctx)
     if not by:
         return _over_all(rel, how, opts["target_column"], order, up, ctx)
     part = Window.partitionBy(*(F.col(f"`{c}`") for c in by))
@@ -87,6 +95,27 @@ def window_apply(args, opts, ctx):
     return ctx.extend(rel, F.when(held, value) if held is not None else value)
 
 
+def _framed(rel, how, target, by, order, up, opts, ctx):
+    """Offsets, tiles and frames; null where a partition key is null."""
+    rid, keys, frame, at = F.col(ctx.row_ids(rel)), sorted_by(order, up), opts.get("frame") or {}, None
+    if frame.get("kind") == "range":
+        value, unit = frames.order_value(rel.df, order[0], directions(order, up)[0])
+        frame = {k: v * unit if k in ("start", "end") and v is not None else v for k, v in frame.items()}
+        at = ctx.extend(rel, value).name
+    if by:
+        out = frames.partitioned(how, opts["target_column"], by, keys, rid, {**opts, "frame": frame}, at)
+        held = reduce(lambda x, y: x & y, (F.col(f"`{c}`").isNotNull() for c in by))
+        return ctx.extend(rel, F.when(held, out))
+    name = ctx.fresh_name()
+    if how == "count" and not frame:
+        rel.df = rel.df.crossJoin(F.broadcast(rel.df.agg(F.count(target).alias(name))))
+    elif at:
+        rel.df = frames.over_range(rel.df, how, target, F.col(at), name, frame)
+    else:
+        rel.df = frames.over_rows(rel.df, how, target, [*keys, rid], name, opts)
+    return ctx.extend(rel, F.col(name))
+
+
 def _over_all(rel, how, name, order, up, ctx):
     """The functions over a whole table, without a task that holds all its rows.
 
@@ -103,11 +132,11 @@ def _over_all(rel, how, name, order, up, ctx):
         rid = ctx.row_ids(rel)
         rel.df = running(rel.df, [*sorted_by(order, up), F.col(rid)], {out: F.lit(1) if how == "row_number" else target})
         return ctx.extend(rel, F.col(out) if how == "row_number" else F.when(target.isNotNull(), F.col(out)))
-    values = rel.df.where(target.isNotNull()).groupBy(target.alias("__v")).agg(F.count("*").alias("__n"))
+    values = rel.df.where(target.isNotNull()).groupBy(target.alias(hidden("v"))).agg(F.count("*").alias(hidden("n")))
     first = directions([name], up)[0]
-    summed = running(values, [F.col("__v").asc() if first else F.col("__v").desc()], {out: F.col("__n") if how == "rank" else F.lit(1)})
-    value = F.col(out) - F.col("__n") + 1 if how == "rank" else F.col(out)
-    rel.df = rel.df.join(summed.select("__v", value.cast("double").alias(out)), target == F.col("__v"), "left").drop("__v")
+    summed = running(values, [F.col(hidden("v")).asc() if first else F.col(hidden("v")).desc()], {out: F.col(hidden("n")) if how == "rank" else F.lit(1)})
+    value = F.col(out) - F.col(hidden("n")) + 1 if how == "rank" else F.col(out)
+    rel.df = rel.df.join(summed.select(hidden("v"), value.cast("double").alias(out)), target == F.col(hidden("v")), "left").drop(hidden("v"))
     return ctx.extend(rel, F.col(out))
 
 

@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.coerce import is_missing, lit, number, whole
-from ..graph import components, keep, running
+from ..graph import components, hidden, is_hidden, keep, running
 from ..operators.registry import OPERATORS
 from .document import Node, Plan, PlanError, order, validate
 
-RID = "__rid"
+RID = hidden("rid")
 _ids = itertools.count()
 
 
@@ -72,15 +72,15 @@ class Context:
     def relation(self, v) -> Relation:
         if isinstance(v, Relation):
             return v
-        return Relation(v.relation.df.select(F.col(f"`{v.name}`").alias(v.name.removeprefix("__s_"))), v.relation.root)
+        return Relation(v.relation.df.select(F.col(f"`{v.name}`").alias(v.name.removeprefix(hidden("s_")))), v.relation.root)
 
     def plain(self, rel: Relation) -> DataFrame:
         """The relation's own columns, without ids and step columns."""
-        return rel.df.select(*(F.col(f"`{c}`") for c in rel.df.columns if not c.startswith("__")))
+        return rel.df.select(*(F.col(f"`{c}`") for c in rel.df.columns if not is_hidden(c)))
 
     def names(self) -> dict[str, Column]:
         rel = self.current
-        out = {c: F.col(f"`{c}`") for c in rel.df.columns if not c.startswith("__")}
+        out = {c: F.col(f"`{c}`") for c in rel.df.columns if not is_hidden(c)}
         for name, v in self.values.items():
             if isinstance(v, Series) and v.relation is rel:
                 out[name] = F.col(f"`{v.name}`")
@@ -89,10 +89,10 @@ class Context:
     # ---- results ----
 
     def fresh_name(self) -> str:
-        return f"__s_{self.step}_{next(_ids)}"
+        return hidden(f"s_{self.step}_{next(_ids)}")
 
     def add(self, rel: Relation, value: Column, hint: str = "") -> Series:
-        name = f"__s_{hint or self.step}_{next(_ids)}"
+        name = hidden(f"s_{hint or self.step}_{next(_ids)}")
         rel.df = rel.df.withColumn(name, value)
         return Series(rel, name)
 
@@ -132,10 +132,10 @@ class Context:
 
     def mapped(self, series: Series, table: DataFrame) -> Series:
         """Values replaced through (value, leader); the table is joined, its size decides how."""
-        rel, name = series.relation, f"__s_{self.step}_{next(_ids)}"
-        t = table.select(F.col("value").alias("__v"), F.col("leader").alias("__l"))
+        rel, name = series.relation, hidden(f"s_{self.step}_{next(_ids)}")
+        t = table.select(F.col("value").alias(hidden("v")), F.col("leader").alias(hidden("l")))
         c = F.col(f"`{series.name}`").cast("string")
-        rel.df = rel.df.join(t, c == F.col("__v"), "left").withColumn(name, F.coalesce("__l", c)).drop("__v", "__l")
+        rel.df = rel.df.join(t, c == F.col(hidden("v")), "left").withColumn(name, F.coalesce(hidden("l"), c)).drop(hidden("v"), hidden("l"))
         return Series(rel, name)
 
     def lookup(self, key: Column, table: dict) -> Column:
@@ -151,16 +151,16 @@ class Context:
         """
         rel = series.relation
         rid, value = self.row_ids(rel), F.col(f"`{series.name}`")
-        df = rel.df.repartitionByRange(F.col(rid)).withColumn("__p", F.spark_partition_id())
+        df = rel.df.repartitionByRange(F.col(rid)).withColumn(hidden("p"), F.spark_partition_id())
         df = keep(df)
-        w = Window.partitionBy("__p").orderBy(F.col(rid) if forward else F.col(rid).desc()).rowsBetween(Window.unboundedPreceding, 0)
-        filled = df.withColumn("__f", F.last(value, ignorenulls=True).over(w))
-        ends = df.where(value.isNotNull()).groupBy("__p").agg((F.max_by if forward else F.min_by)(value, F.col(rid)).alias("__e"))
-        parts = df.select(F.col("__p").alias("__q")).distinct().join(ends, F.col("__p") == F.col("__q"), "left")  # one row a part
-        others = Window.orderBy(F.col("__q") if forward else F.col("__q").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        seed = parts.select("__q", F.last("__e", ignorenulls=True).over(others).alias("__e"))
-        name = f"__s_{self.step}_{next(_ids)}"
-        rel.df = filled.join(F.broadcast(seed), F.col("__p") == F.col("__q"), "left").withColumn(name, F.coalesce("__f", "__e")).drop("__p", "__q", "__f", "__e")
+        w = Window.partitionBy(hidden("p")).orderBy(F.col(rid) if forward else F.col(rid).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        filled = df.withColumn(hidden("f"), F.last(value, ignorenulls=True).over(w))
+        ends = df.where(value.isNotNull()).groupBy(hidden("p")).agg((F.max_by if forward else F.min_by)(value, F.col(rid)).alias(hidden("e")))
+        parts = df.select(F.col(hidden("p")).alias(hidden("q"))).distinct().join(ends, F.col(hidden("p")) == F.col(hidden("q")), "left")  # one row a part
+        others = Window.orderBy(F.col(hidden("q")) if forward else F.col(hidden("q")).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seed = parts.select(hidden("q"), F.last(hidden("e"), ignorenulls=True).over(others).alias(hidden("e")))
+        name = hidden(f"s_{self.step}_{next(_ids)}")
+        rel.df = filled.join(F.broadcast(seed), F.col(hidden("p")) == F.col(hidden("q")), "left").withColumn(name, F.coalesce(hidden("f"), hidden("e"))).drop(hidden("p"), hidden("q"), hidden("f"), hidden("e"))
         return Series(rel, name)
 
     # ---- alignment ----
@@ -176,13 +176,13 @@ class Context:
                 if not self.with_ids and not self.row_id:
                     raise _NeedsIds
                 key = self.row_ids(base)
-                other = s.relation.df.select(F.col(self.row_ids(s.relation)).alias("__k"), F.col(f"`{s.name}`").alias(f"{s.name}_j"))
-                base.df = base.df.join(other, F.col(f"`{key}`") == F.col("__k"), "left").drop("__k")
+                other = s.relation.df.select(F.col(self.row_ids(s.relation)).alias(hidden("k")), F.col(f"`{s.name}`").alias(f"{s.name}_j"))
+                base.df = base.df.join(other, F.col(f"`{key}`") == F.col(hidden("k")), "left").drop(hidden("k"))
             elif self.positional:
                 number = lambda rel, n: running(rel.df, rel.order or [F.col(self.row_ids(rel))], {n: F.lit(1)})
                 self.row_ids(base), self.row_ids(s.relation)
-                other = number(s.relation, "__k").select("__k", F.col(f"`{s.name}`").alias(f"{s.name}_j"))
-                base.df = number(base, "__n").join(other, F.col("__n") == F.col("__k"), "left").drop("__k", "__n")
+                other = number(s.relation, hidden("k")).select(hidden("k"), F.col(f"`{s.name}`").alias(f"{s.name}_j"))
+                base.df = number(base, hidden("n")).join(other, F.col(hidden("n")) == F.col(hidden("k")), "left").drop(hidden("k"), hidden("n"))
             else:
                 raise CompilationError("columns of unrelated tables cannot stand side by side; join the tables first")
             names.append(f"{s.name}_j")

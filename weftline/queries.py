@@ -310,6 +310,9 @@ _window("win_all_row_number", "row_number() OVER (ORDER BY value DESC NULLS LAST
 _window("win_all_cumsum", "sum(event_id) OVER (ORDER BY value, event_id ROWS UNBOUNDED PRECEDING)::BIGINT", function="cumulative_sum", target_column="event_id", order_by="value", partition_by=[])
 _window("win_all_rank", "CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v NULLS LAST) END::DOUBLE", function="rank", partition_by=[])
 _window("win_all_dense_rank", "(dense_rank() OVER (ORDER BY event_type DESC))::DOUBLE", function="dense_rank", target_column="event_type", ascending=False, partition_by=[])
+_window("win_all_sum", "(SELECT sum(event_id)::BIGINT FROM events)", function="sum", target_column="event_id", partition_by=[])
+_window("win_all_mean", "(SELECT avg(event_id) FROM events)", function="mean", target_column="event_id", partition_by=[])
+_window("win_all_min", "(SELECT min(value) FROM events WHERE event_id % 10 <> 0)", function="min", partition_by=[])
 _window("win_all_max", "(SELECT max(value) FROM events WHERE event_id % 10 <> 0)", function="max", partition_by=[])
 
 
@@ -764,3 +767,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     tables = {n: load(spark, sf, n) for n in ("orders", "customer")}
     target = run(load(spark, sf, "lineitem"), outputs, steps, tables, fields=_FLAGSHIP_MODEL["fields"])
     return trust.evaluate(target, _FLAGSHIP_MODEL["odcs_contracts"]).clean
+
+
+from . import relation_queries  # noqa: E402, F401  more queries under the same two tables

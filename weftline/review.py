@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import hidden
 from .contracts.trust import Report, evaluate
 
 REVIEW_CONFIDENCE = 0.99
@@ -26,10 +27,10 @@ def apply_decisions(quarantine: DataFrame, decisions: DataFrame, row_key: str) -
     ``decisions``: row key, action (DROP, OVERRIDE or PATCH) and patches
     (map<string,string>). One decision a row counts.
     """
-    d = decisions.select(F.col(f"`{row_key}`").alias("__k"), F.upper("action").alias("_action"), F.col("patches").alias("__p")).dropDuplicates(["__k"])
-    joined = quarantine.join(d, F.col(f"`{row_key}`") == F.col("__k"), "left")
-    patch = lambda c: F.try_element_at("__p", F.lit(c))
-    has = lambda c: (F.col("_action") == "PATCH") & F.coalesce(F.map_contains_key("__p", F.lit(c)), F.lit(False))
+    d = decisions.select(F.col(f"`{row_key}`").alias(hidden("k")), F.upper("action").alias("_action"), F.col("patches").alias(hidden("p"))).dropDuplicates([hidden("k")])
+    joined = quarantine.join(d, F.col(f"`{row_key}`") == F.col(hidden("k")), "left")
+    patch = lambda c: F.try_element_at(hidden("p"), F.lit(c))
+    has = lambda c: (F.col("_action") == "PATCH") & F.coalesce(F.map_contains_key(hidden("p"), F.lit(c)), F.lit(False))
     out = [
         F.col(c) if c.startswith("_") or c == row_key else F.when(has(c), patch(c).try_cast(quarantine.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c)
         for c in quarantine.columns
@@ -53,8 +54,8 @@ def review(quarantine: DataFrame, decisions: DataFrame | None, model: dict[str,
 
 def audit_trail(quarantine: DataFrame, decisions: DataFrame, row_key: str) -> DataFrame:
     """row key, action, details of every decision on a quarantined row."""
-    known = quarantine.select(F.col(f"`{row_key}`").alias("__k"))
-    d = decisions.join(known, F.col(f"`{row_key}`") == F.col("__k"), "left_semi")
+    known = quarantine.select(F.col(f"`{row_key}`").alias(hidden("k")))
+    d = decisions.join(known, F.col(f"`{row_key}`") == F.col(hidden("k")), "left_semi")
     return d.select(row_key, F.upper("action").alias("action"), F.when(F.upper("action") == "PATCH", F.to_json("patches")).otherwise(F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")).alias("details"), F.current_timestamp().alias("at"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..graph import hidden
 from ..contracts.rules import Rule, Violations
 from ..contracts.trust import Report, evaluate
 from ..operators.registry import OPERATORS
@@ -34,13 +35,13 @@ def flag_stream(df: DataFrame, rules: list[dict]) -> DataFrame:
     parsed = [Rule.of(r) for r in rules]
     if wide := sorted({r.assertion for r in parsed} - ROW_RULES):
         raise PlanError([f"{a} looks at many rows; check it per micro-batch" for a in wide])
-    return Violations(df, parsed).flagged().drop("__codes")
+    return Violations(df, parsed).flagged().drop(hidden("codes"))
 
 
 def violation_rates(flagged: DataFrame, time_column: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Rows and violating rows by time window; data later than ``late`` is left out."""
-    t = flagged.withColumn("__t", F.col(f"`{time_column}`").cast("timestamp")).withWatermark("__t", late)
-    return t.groupBy(F.window("__t", window)).agg(F.count("*").alias("n_rows"), F.sum((F.size("_violations") > 0).cast("long")).alias("n_violating"))
+    t = flagged.withColumn(hidden("t"), F.col(f"`{time_column}`").cast("timestamp")).withWatermark(hidden("t"), late)
+    return t.groupBy(F.window(hidden("t"), window)).agg(F.count("*").alias("n_rows"), F.sum((F.size("_violations") > 0).cast("long")).alias("n_violating"))
 
 
 def contract_stream(df: DataFrame, contracts: dict[str, Any], clean: str, quarantine: str, checkpoint: str, references: dict[str, DataFrame] | None = None, on_report: Callable[[int, Report], None] | None = None, **trigger) -> StreamingQuery:
