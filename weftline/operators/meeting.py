@@ -260,12 +260,13 @@ def asof_join(args, opts, ctx):
     if direction == "nearest":
         first = last_before(whole(a), b, keys, False, exact).withColumn("earlier", F.col("found")).select(F.struct("left", "earlier").alias("left"), "t", *(F.col(f"left.{s.a.columns[s.left.columns.index(c)]}").alias(k) for c, k in zip(lk, keys, strict=True)))
         both = last_before(first, b, keys, True, exact).select("left.left", "left.earlier", "t", F.col("found").alias("later"))
-        near = F.col("earlier").isNotNull() & (F.col("later").isNull() | (F.col("t") - F.col("earlier.t") <= F.col("later.t") - F.col("t")))
+        near = F.col("earlier").isNotNull() & (F.col("later").isNull() | (F.col("t") == F.col("earlier.t")) | (F.col("t") - F.col("earlier.t") <= F.col("later.t") - F.col("t")))
         out = both.select("left", "t", F.when(near, F.col("earlier")).otherwise(F.col("later")).alias("found"))
     else:
         out = last_before(whole(a), b, keys, direction == "forward", exact)
     if opts.get("tolerance") is not None:
-        out = out.withColumn("found", F.when(F.abs(F.col("found.t") - F.col("t")) <= opts["tolerance"] * unit, F.col("found")))
+        near = (F.col("found.t") == F.col("t")) | (F.abs(F.col("found.t") - F.col("t")) <= opts["tolerance"] * unit)  # equal infinities too
+        out = out.withColumn("found", F.when(near, F.col("found")))
     out = out.select("left", F.col("found.row").alias("row"))
     if how == "inner":
         out = out.where("row IS NOT NULL")

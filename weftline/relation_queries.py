@@ -25,7 +25,7 @@ def _meeting(name: str, operation: str, sql: str, left, right, outputs: tuple[st
         return run(left(spark, sf), pick("met", *outputs), {"met": node(operation, tab("source"), tab("other"), **options)}, {"other": right(spark, sf)})
 
 
-_table = lambda name, *columns: lambda spark, sf: load(spark, sf, name).select(*columns)
+_table = lambda name, *columns: lambda spark, sf: load(spark, sf, name).selectExpr(*columns)
 _SALES = _table("sales", "sale_id", "client_id", "sold_at", "total")
 
 _meeting(
@@ -51,10 +51,10 @@ for _how, _word in (("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")):
 
 # ---- nearest in time -----------------------------------------------------------------
 
-_CLICKS = _table("clicks", "click_id", F.col("client_id").alias("visitor"), "ts")
+_CLICKS = _table("clicks", "click_id", "client_id AS visitor", "ts")
 _ONCE_SQL = "SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY ALL"
 _CHANGED_SQL = "SELECT client_id AS owner, valid_at, max(change_id) AS change_id FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY ALL"
-_changes = _table("client_changes", "change_id", F.col("client_id").alias("owner"), "valid_at")
+_changes = _table("client_changes", "change_id", "client_id AS owner", "valid_at")
 _meeting(
     "asof_join_backward", "ASOF_JOIN", f"SELECT s.sale_id, c.change_id FROM sales s ASOF LEFT JOIN ({_CHANGED_SQL}) c ON s.client_id = c.owner AND s.sold_at >= c.valid_at",
     _SALES, _changes, ("sale_id", "change_id"), left_on="client_id", right_on="owner", left_at="sold_at", right_at="valid_at",
