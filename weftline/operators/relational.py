@@ -125,7 +125,7 @@ def group_by(args, opts, ctx):
 
     ``sets`` (cube, rollup, or lists of keys) gives a row for the groups of each set, other keys null.
     ``null_keys: true`` then keeps null keys, and ``grouping_id`` names a column that tells them from the
-    nulls of subtotals: one bit a key, first key highest, 1 where the key is summed over.
+    nulls of subtotals: one bit a key, first key highest, 1 where the key is summed over. An empty table has no groups, nor a grand total.
     """
     rel, by = ctx.relation(args[0]), _listed(opts["by"])
     agg = opts["agg"] if isinstance(opts["agg"], dict) else None
