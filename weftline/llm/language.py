@@ -148,7 +148,7 @@ def sample(training: DataFrame, most: int = SAMPLE) -> DataFrame:
     chance = F.pmod(F.xxhash64("doc_id", F.col("text")), F.lit(1 << 30))
     rows = training.withColumn("chance", chance)
     sizes = rows.groupBy("lang").agg((F.lit(2.0 * most) / F.approx_count_distinct("chance") * (1 << 30)).alias("limit"))
-    near = rows.join(sizes, "lang").where(F.col("chance") <= F.col("limit"))
+    near = rows.join(F.broadcast(sizes), "lang").where(F.col("chance") <= F.col("limit"))
     single = near.groupBy("lang", "chance").agg(F.min("text").alias("text"))
     ranked = single.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("chance")))
     return ranked.where(F.col("rn") <= most).select("lang", "text")
