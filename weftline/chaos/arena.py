@@ -28,9 +28,9 @@ SCHEMA_WEIGHT, OPERATOR_WEIGHT = 0.7, 0.3
 LEVELS = {"Dirty": 0.05, "Filthy": 0.20}
 
 
-def generate(spark: SparkSession, model: dict[str, Any], rows: int, seed: int = 42, key: str = "row_key") -> DataFrame:
-    """Rows that keep the model's contracts, by field type and rules, from a range: any size, no driver data."""
-    base = spark.range(rows).withColumnRenamed("id", key)
+def generate(spark: SparkSession, model: dict[str, Any], rows: int | DataFrame, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """Rows that keep the model's contracts, by field type and rules: so many, or one for every ``key`` of a table. Any size, no driver data."""
+    base = rows.select(F.col(f"`{key}`")) if isinstance(rows, DataFrame) else spark.range(rows).withColumnRenamed("id", key)
     k = F.col(key)
     rules = model["odcs_contracts"]["row_level_rules"]
 
