@@ -60,7 +60,7 @@ def test_expressions_over_columns(spark):
     assert identifiers("abs(a - `b c`) < 0.01 and d in [1]") == {"a", "b c", "d"}
 
 
-@pytest.mark.parametrize("text", ["", "a +", "__import__('os')", "a.b", "lambda: 1", "[x for x in y]", "f(a=1)", "a if b else c", "@v", "`a", "x[0]"])
+@pytest.mark.parametrize("text", ["", "a +", "__import__('os')", "a.b", "lambda: 1", "{x: 1 for x in y}", "[a for a, b in y]", "[a + b for a in y for b in y]", "f(a=1)", "a if b else c", "@v", "`a", "x[y]", "x[0:1]", "json(x)"])
 def test_expressions_reject_everything_else(spark, text):
     with pytest.raises(ExpressionError):
         parse(text, {"a": F.lit(1), "b": F.lit(1), "c": F.lit(1), "x": F.lit(1), "y": F.lit(1)})

@@ -1,7 +1,9 @@
 """The expression language of filters, cases, computed columns and contracts.
 
 Python syntax with a whitelist of node types, turned into Columns. ``& | ~`` bind
-like ``and or not``; names in backticks may hold any characters. Nothing is
+like ``and or not``; names in backticks may hold any characters. ``[f(x) for x in xs if c]``,
+``any(...)`` and ``all(...)`` of such a loop, ``len(xs)``, ``xs[0]``, ``m['key']`` and ``json(text, '$.a', 'long')`` work on
+arrays, maps, structs and JSON texts. Nothing is
 evaluated as code, and no text reaches Spark's own parser.
 """
 
@@ -57,7 +59,8 @@ def identifiers(text: str) -> set[str]:
     """The column names that an expression uses."""
     tree, names = _tree(text)
     calls = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    return {names.get(n.id, n.id) for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in calls}
+    bound = {g.target.id for n in ast.walk(tree) for g in getattr(n, "generators", ()) if isinstance(g.target, ast.Name)}
+    return {names.get(n.id, n.id) for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in calls and n.id not in bound}
 
 
 class _Builder:
@@ -140,9 +143,50 @@ class _Builder:
             out, negative = table[type(op)], isinstance(op, ast.NotEq)
         return F.coalesce(out, F.lit(negative)) if self.numpy else out
 
+    def _loop(self, n: ast.ListComp | ast.GeneratorExp) -> tuple[Column, str]:
+        """The array that a loop runs over, after its conditions, and the name of its variable."""
+        if len(n.generators) != 1 or not isinstance(n.generators[0].target, ast.Name) or n.generators[0].is_async:
+            raise ExpressionError("a loop has one variable and one array")
+        g = n.generators[0]
+        out = self.build(g.iter)
+        for c in g.ifs:
+            out = F.filter(out, self._body(g.target.id, c))
+        return out, g.target.id
+
+    def _body(self, name: str, body: ast.expr):
+        return lambda x: _Builder({**self.columns, name: x}, self.names, "numpy" if self.numpy else "sql").build(body)
+
+    def _listcomp(self, n: ast.ListComp) -> Column:
+        array, name = self._loop(n)
+        return F.transform(array, self._body(name, n.elt))
+
+    def _subscript(self, n: ast.Subscript) -> Column:
+        key = n.slice
+        if isinstance(key, ast.UnaryOp) and isinstance(key.op, ast.USub) and isinstance(key.operand, ast.Constant):
+            key = ast.Constant(-key.operand.value)
+        if not isinstance(key, ast.Constant) or isinstance(key.value, bool) or not isinstance(key.value, (int, str)):
+            raise ExpressionError("an index is a whole number or a text")
+        c = self.build(n.value)
+        if isinstance(key.value, str):
+            return c.getItem(key.value)
+        return F.get(c, F.lit(key.value)) if key.value >= 0 else F.try_element_at(c, F.lit(key.value))
+
+    def _json(self, args: list[ast.expr]) -> Column:
+        texts = [a.value for a in args[1:] if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+        if len(args) not in (2, 3) or len(texts) != len(args) - 1:
+            raise ExpressionError("json takes a column, a path and a type")
+        return F.try_variant_get(F.try_parse_json(self.build(args[0])), texts[0], texts[1] if len(texts) == 2 else "string")
+
     def _call(self, n: ast.Call) -> Column:
         if n.keywords:
             raise ExpressionError("named arguments are not allowed")
+        if isinstance(n.func, ast.Name) and n.func.id in ("any", "all") and len(n.args) == 1 and isinstance(n.args[0], (ast.GeneratorExp, ast.ListComp)):
+            array, name = self._loop(n.args[0])
+            return (F.exists if n.func.id == "any" else F.forall)(array, self._body(name, n.args[0].elt))
+        if isinstance(n.func, ast.Name) and n.func.id == "len" and len(n.args) == 1:
+            return F.size(self.build(n.args[0]))
+        if isinstance(n.func, ast.Name) and n.func.id == "json":
+            return self._json(n.args)
         if isinstance(n.func, ast.Name) and n.func.id in _FUNCTIONS and len(n.args) == 1:
             return _FUNCTIONS[n.func.id](self.build(n.args[0]))
         if isinstance(n.func, ast.Attribute):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from . import bags, entity, meeting, relational, scalar, window
+from . import bags, entity, meeting, nested, relational, sampling, scalar, sketches, subqueries, window
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,14 @@ OPERATORS: dict[str, Operator] = {
     "RANGE_JOIN": Operator(meeting.range_join, 2, table=True, check=meeting.check_range_join),
     "ASOF_JOIN": Operator(meeting.asof_join, 2, table=True, check=meeting.check_asof_join),
     "THETA_JOIN": Operator(meeting.theta_join, 2, ("condition",), table=True, check=meeting.check_theta_join),
+    "WHERE_EXISTS": Operator(subqueries.where_exists, 2, table=True, check=subqueries.check_correlation),
+    "WHERE_IN": Operator(subqueries.where_in, 2, ("column",), table=True, check=subqueries.check_correlation),
+    "SCALAR_SUBQUERY": Operator(subqueries.scalar_subquery, 2, ("column", "agg"), table=True, check=subqueries.check_correlation),
+    "SAMPLE": Operator(sampling.sample, table=True, check=sampling.check_sample),
+    "SKETCH_VALUE": Operator(sketches.value, required=("kind",), check=sketches.check_value),
+    "PARSE_JSON": Operator(nested.parse_json),
+    "JSON_GET": Operator(nested.json_get, required=("path",), check=nested.check_path),
+    "EXPAND_JSON": Operator(nested.expand_json, required=("column",), table=True),
     "UNION": Operator(relational.union, 2, table=True),
     "INTERSECT": Operator(bags.intersect, 2, table=True),
     "EXCEPT": Operator(bags.except_, 2, table=True),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..graph import hidden
+from . import sketches
 from ..functions.coerce import java_pattern, strip
 from ..functions.expressions import parse
 
@@ -93,6 +94,8 @@ def _aggregate(df: DataFrame, c: str, how: str, rid: str | None) -> Column:
         return F.coalesce(F.sum(v), F.lit(0).cast("double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long"))
     if how == "size":
         return F.count("*")
+    if how in sketches.AGGREGATES:
+        return sketches.aggregate(v, df.schema[c].dataType, how)
     if how in ("first", "last"):
         order = F.when(v.isNotNull(), F.col(rid)) if rid else F.when(v.isNotNull(), F.monotonically_increasing_id())
         return (F.min_by if how == "first" else F.max_by)(v, order)

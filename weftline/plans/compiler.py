@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..functions.coerce import is_missing, lit, number, whole
 from ..graph import components, hidden, is_hidden, keep, running
 from ..operators.registry import OPERATORS
-from .document import Node, Plan, PlanError, order, validate
+from .document import Node, Plan, PlanError, order, sub_order, validate
 
 RID = hidden("rid")
 _ids = itertools.count()
@@ -280,6 +280,16 @@ def compile_plan(plan: Plan, source: DataFrame, tables: dict[str, DataFrame] | N
     tables = tables or {}
     if errors := validate(plan, source.columns, fields, tables):
         raise PlanError(errors)
+    tables = {k: v for k, v in tables.items()}
+    for name in sub_order(plan):
+        sub = plan.sub_plans[name]
+        of = source if sub.source == "source" else tables[sub.source]
+        out = _compiled(sub, of, tables, None, row_id if sub.source == "source" else None, positional)
+        tables[name] = keep(out) if sub.materialise else out
+    return _compiled(plan, source, tables, fields, row_id, positional)
+
+
+def _compiled(plan: Plan, source: DataFrame, tables: dict[str, DataFrame], fields: dict[str, dict] | None, row_id: str | None, positional: bool) -> DataFrame:
     try:
         return _lower(plan, Context(source, tables, row_id, positional, False), fields)
     except _NeedsIds:  # ids are made only then, as they keep filters from reaching the scan

@@ -1,15 +1,17 @@
 """Plan documents: strict JSON, and validation of their graph.
 
-    {"target_dataset": ..., "intermediate_steps": {name: node}, "output_mappings": {target: node}}
+    {"target_dataset": ..., "sub_plans": {name: sub-plan}, "intermediate_steps": {name: node}, "output_mappings": {target: node}}
     node: {"operation", "inputs": [{"type", "value"}], "target_type", "options"}
 
+A sub-plan is a plan of its own over ``source`` (a table's or another sub-plan's name, default: the plan's own
+source); its outputs are a table under its name, lowered once, and written once if ``materialise`` is true.
 Input types: COLUMN_REF (of the source), STEP_REF, LITERAL, TABLE_REF.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -54,6 +56,9 @@ class Plan:
     steps: dict[str, Node]
     outputs: dict[str, Node]
     target_dataset: str = ""
+    sub_plans: dict[str, Plan] = field(default_factory=dict)
+    source: str = "source"
+    materialise: bool = False
 
 
 def _node(where: str, raw: Any, errors: list[str]) -> Node | None:
@@ -89,17 +94,39 @@ def read_plan(source: str | dict) -> Plan:
         except json.JSONDecodeError as e:
             raise PlanError([f"not JSON: {e}"]) from e
     errors: list[str] = []
+    plan = _plan(source, "", errors)
+    if errors:
+        raise PlanError(errors)
+    return plan
+
+
+def _plan(source: Any, where: str, errors: list[str]) -> Plan | None:
     if not isinstance(source, dict):
-        raise PlanError(["a plan must be an object"])
-    if extra := set(source) - {"target_dataset", "intermediate_steps", "output_mappings"}:
-        errors.append(f"unknown keys {sorted(extra)}")
+        errors.append(f"{where}a plan must be an object")
+        return None
+    known = {"target_dataset", "intermediate_steps", "output_mappings", "sub_plans"} | ({"source", "materialise"} if where else set())
+    if extra := set(source) - known:
+        errors.append(f"{where}unknown keys {sorted(extra)}")
     parts = []
     for key in ("intermediate_steps", "output_mappings"):
-        nodes = {name: _node(f"{key}.{name}", raw, errors) for name, raw in (source.get(key) or {}).items()}
+        nodes = {name: _node(f"{where}{key}.{name}", raw, errors) for name, raw in (source.get(key) or {}).items()}
         parts.append({k: n for k, n in nodes.items() if n})
-    if errors:
-        raise PlanError(errors)
-    return Plan(*parts, str(source.get("target_dataset", "")))
+    subs = {name: _plan(raw, f"sub_plans.{name}: ", errors) for name, raw in (source.get("sub_plans") or {}).items()}
+    if where and subs:
+        errors.append(f"{where}sub-plans have no sub-plans of their own; name them beside it")
+    return Plan(*parts, str(source.get("target_dataset", "")), {k: p for k, p in subs.items() if p}, str(source.get("source", "source")), bool(source.get("materialise")))
+
+
+def sub_order(plan: Plan) -> list[str]:
+    """The sub-plans, each after those whose tables it reads; a cycle is an error."""
+    needs = {n: {p.source, *(a.value for x in (*p.steps.values(), *p.outputs.values()) for a in x.inputs if a.type == "TABLE_REF")} & set(plan.sub_plans) for n, p in plan.sub_plans.items()}
+    done: list[str] = []
+    while len(done) < len(needs):
+        ready = sorted(n for n, d in needs.items() if n not in done and d <= set(done))
+        if not ready:
+            raise PlanError([f"cycle of sub-plans: {', '.join(sorted(set(needs) - set(done)))}"])
+        done += ready
+    return done
 
 
 def dependencies(node: Node, steps: Iterable[str]) -> set[str]:
@@ -140,7 +167,28 @@ def order(plan: Plan) -> list[str]:
 def validate(plan: Plan, source_columns: Iterable[str], target_fields: Iterable[str] | None = None, tables: Iterable[str] = ()) -> list[str]:
     """All findings about the graph; empty if it can be lowered."""
     errors: list[str] = []
-    columns, tables = set(source_columns), set(tables) | {"source"}
+    found = {"source": set(source_columns), **{n: set(getattr(tables[n], "columns", ())) or None if isinstance(tables, Mapping) else None for n in tables}}
+    if clash := set(plan.sub_plans) & set(found):
+        errors.append(f"sub-plans {sorted(clash)} bear the names of tables")
+    try:
+        for name in sub_order(plan):
+            sub = plan.sub_plans[name]
+            if sub.source not in found:
+                errors.append(f"sub-plan {name}: unknown source {sub.source}")
+            else:
+                errors += [f"sub-plan {name}: {e}" for e in _graph(sub, found[sub.source], set(found))]
+            found[name] = set(sub.outputs)
+    except PlanError as e:
+        return [*errors, *e.errors]
+    errors += _graph(plan, set(source_columns), set(found))
+    if target_fields is not None:
+        errors += [f"output {k}: not a field of the target" for k in plan.outputs if k not in set(target_fields)]
+    return errors
+
+
+def _graph(plan: Plan, columns: set[str] | None, tables: set[str]) -> list[str]:
+    """Findings about one plan's nodes; ``columns`` None: not known."""
+    errors: list[str] = []
     for where, node in [*((f"step {k}", n) for k, n in plan.steps.items()), *((f"output {k}", n) for k, n in plan.outputs.items())]:
         spec = OPERATORS[node.operation]
         if len(node.inputs) < spec.least:
@@ -153,18 +201,16 @@ def validate(plan: Plan, source_columns: Iterable[str], target_fields: Iterable[
         for a in node.inputs:
             if a.type == "STEP_REF" and a.value not in plan.steps:
                 errors.append(f"{where}: unknown step {a.value}")
-            elif a.type == "COLUMN_REF" and a.value not in columns:
+            elif a.type == "COLUMN_REF" and columns is not None and a.value not in columns:
                 errors.append(f"{where}: unknown column {a.value}")
             elif a.type == "TABLE_REF" and a.value not in tables:
                 errors.append(f"{where}: unknown table {a.value}")
         for f in node.formulas():
             try:
-                if unknown := identifiers(f) - columns - set(plan.steps) - {"_temp"}:
+                if columns is not None and (unknown := identifiers(f) - columns - set(plan.steps) - {"_temp"}):
                     errors.append(f"{where}: unknown names {sorted(unknown)} in {f!r}")
             except ExpressionError as e:
                 errors.append(f"{where}: {e}")
-    if target_fields is not None:
-        errors += [f"output {k}: not a field of the target" for k in plan.outputs if k not in set(target_fields)]
     try:
         order(Plan(plan.steps, {k: Node("COPY", (Argument("STEP_REF", k),)) for k in plan.steps}))
     except PlanError as e:

@@ -144,3 +144,128 @@ _frame("all_rows_min", f"min(v) {_ALL} ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING)
 _frame("all_rows_sum", f"sum(event_id) {_ALL} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)::BIGINT", function="sum", target_column="event_id", partition_by=[], frame={"kind": "rows", "start": -10, "end": 10})
 _frame("all_range_count", "count(v) OVER (ORDER BY value RANGE BETWEEN 1 PRECEDING AND 0.5 FOLLOWING)", function="count", partition_by=[], frame={"kind": "range", "start": -1.0, "end": 0.5})
 _frame("all_range_sum", "sum(event_id) OVER (ORDER BY value DESC RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT", function="sum", target_column="event_id", ascending=False, partition_by=[], frame={"kind": "range", "start": -2.0, "end": 0.0})
+
+
+# ---- subqueries and sub-plans --------------------------------------------------------
+
+_BUYERS = _table("clients", "client_id", "nation_id", "balance")
+
+
+def _sub(name: str, operation: str, sql: str, prepare=None, **options):
+    @query(name, sql)
+    def _(spark, sf):
+        sales = load(spark, sf, "sales")
+        sales = sales.selectExpr(*prepare) if prepare else sales
+        return run(_BUYERS(spark, sf), pick("kept", "client_id", "balance"), {"kept": node(operation, tab("source"), tab("sales"), **options)}, {"sales": sales})
+
+
+_sub("where_exists", "WHERE_EXISTS", "SELECT client_id, balance FROM clients c WHERE EXISTS (SELECT 1 FROM sales s WHERE s.client_id = c.client_id AND s.total > c.balance / 10)", ("client_id", "total"), on="client_id", condition="total > balance / 10")
+_sub("where_not_exists", "WHERE_EXISTS", "SELECT client_id, balance FROM clients c WHERE NOT EXISTS (SELECT 1 FROM sales s WHERE s.client_id = c.client_id AND s.total > c.balance / 10)", ("client_id", "total"), on="client_id", condition="total > balance / 10", negate=True)
+_sub("where_in", "WHERE_IN", "SELECT client_id, balance FROM clients WHERE client_id IN (SELECT client_id FROM sales)", column="client_id")
+_sub("where_not_in", "WHERE_IN", "SELECT client_id, balance FROM clients WHERE client_id NOT IN (SELECT coalesce(client_id, -1) * 2 FROM sales)", ("coalesce(client_id, -1) * 2 AS other",), column="client_id", sub_column="other", negate=True)
+_sub(
+    "where_not_in_correlated", "WHERE_IN", "SELECT client_id, balance FROM clients c WHERE nation_id NOT IN (SELECT s.priority FROM (SELECT client_id, CASE WHEN sale_id % 11 <> 0 THEN priority END AS priority FROM sales) s WHERE s.client_id = c.client_id)",
+    ("client_id", "CASE WHEN sale_id % 11 <> 0 THEN priority END AS priority"), column="nation_id", sub_column="priority", on="client_id", negate=True,
+)
+
+
+@query("scalar_subquery", "SELECT client_id, (SELECT count(*) FROM sales s WHERE s.client_id = c.client_id) AS n_sales, (SELECT max(total) FROM sales s WHERE s.client_id = c.client_id) AS largest, (SELECT max(priority) FROM sales) AS highest FROM clients c")
+def _(spark, sf):
+    steps = {n: node("SCALAR_SUBQUERY", tab("source"), tab("sales"), column=c, agg=how, **on) for n, c, how, on in (("n", "sale_id", "size", {"on": "client_id"}), ("most", "total", "max", {"on": "client_id"}), ("top", "priority", "max", {}))}
+    outputs = {"client_id": node("COPY", col("client_id")), "n_sales": node("COPY", step("n")), "largest": node("COPY", step("most")), "highest": node("COPY", step("top"))}
+    return run(_BUYERS(spark, sf), outputs, steps, {"sales": load(spark, sf, "sales")})
+
+
+@query(
+    "shared_sub_plan",
+    """WITH spent AS (SELECT client_id, sum(total) AS total FROM sales WHERE status = 'done' AND client_id IS NOT NULL GROUP BY 1), mean AS (SELECT 1 AS one, avg(total) AS average FROM spent)
+    SELECT client_id, round(total, 2) AS total FROM spent WHERE total > (SELECT average FROM mean)""",
+)
+def _(spark, sf):
+    from .plans.compiler import compile_plan
+    from .plans.document import read_plan
+
+    spent = {"intermediate_steps": {"done": node("FILTER", tab("source"), condition="status == 'done'"), "sums": node("GROUP_BY", step("done"), by="client_id", agg={"total": "sum"})}, "output_mappings": pick("sums", "client_id", "total"), "materialise": True}
+    plan = {
+        "sub_plans": {"spent": spent},
+        "intermediate_steps": {"with_mean": node("THETA_JOIN", tab("spent"), tab("means"), condition="total > average")},
+        "output_mappings": {"client_id": node("COPY", step("with_mean"), column="client_id"), "total": node("COPY", step("with_mean"), column="total")},
+    }
+    mean = {"source": "spent", "intermediate_steps": {"m": node("GROUP_BY", tab("ones"), by="one", agg={"total": "mean"})}, "output_mappings": {"average": node("COPY", step("m"), column="total")}}
+    ones = {"source": "spent", "output_mappings": {"one": node("COPY", {"type": "LITERAL", "value": 1}), "total": node("COPY", col("total"))}}
+    plan["sub_plans"] |= {"means": mean, "ones": ones}
+    return compile_plan(read_plan(plan), load(spark, sf, "sales")).withColumn("total", F.round("total", 2))
+
+
+# ---- samples -------------------------------------------------------------------------
+
+_SAMPLED = "SELECT sale_id, status, md5('7|sample|' || sale_id) AS h FROM sales"
+
+
+@query("sample_rows", f"SELECT sale_id, status FROM ({_SAMPLED}) ORDER BY h LIMIT 500")
+def _(spark, sf):
+    return run(load(spark, sf, "sales").select("sale_id", "status"), pick("some", "sale_id", "status"), {"some": node("SAMPLE", tab("source"), n=500, key="sale_id", seed=7)})
+
+
+@query("sample_strata", f"SELECT sale_id, status FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY h) AS rn FROM ({_SAMPLED})) WHERE rn <= 60")
+def _(spark, sf):
+    return run(load(spark, sf, "sales").select("sale_id", "status"), pick("some", "sale_id", "status"), {"some": node("SAMPLE", tab("source"), n=60, by="status", key="sale_id", seed=7)})
+
+
+# ---- sketches ------------------------------------------------------------------------
+
+_NEAR = "abs(estimate - exact) <= greatest(3, 0.08 * exact)"
+
+
+@query("sketch_distinct", "SELECT kind, count(DISTINCT client_id) AS exact, true AS near FROM clicks WHERE kind IS NOT NULL GROUP BY kind")
+def _(spark, sf):
+    """Sketches by kind and day, merged by kind."""
+    df = load(spark, sf, "clicks").select("kind", F.to_date("ts").alias("day"), "client_id").where("day IS NOT NULL")
+    steps = {"daily": node("GROUP_BY", tab("source"), by=["kind", "day"], agg={"client_id": "sketch_distinct"}), "all": node("GROUP_BY", step("daily"), by="kind", agg={"client_id": "merge_distinct"}), "sketch": node("COPY", step("all"), column="client_id")}
+    got = run(df, {"kind": node("COPY", step("all"), column="kind"), "estimate": node("SKETCH_VALUE", step("sketch"), kind="distinct")}, steps)
+    exact = load(spark, sf, "clicks").where("kind IS NOT NULL").groupBy("kind").agg(F.count_distinct("client_id").alias("exact"))
+    return got.join(exact, "kind").selectExpr("kind", "exact", f"{_NEAR} AS near")
+
+
+@query("sketch_quantiles", "SELECT status, true AS near FROM sales WHERE status IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    """The merged sketch's median lies between the exact quantiles 0.45 and 0.55."""
+    df = load(spark, sf, "sales").select("status", "priority", "total")
+    steps = {"fine": node("GROUP_BY", tab("source"), by=["status", "priority"], agg={"total": "sketch_quantiles"}), "all": node("GROUP_BY", step("fine"), by="status", agg={"total": "merge_quantiles"}), "sketch": node("COPY", step("all"), column="total")}
+    got = run(df, {"status": node("COPY", step("all"), column="status"), "median": node("SKETCH_VALUE", step("sketch"), kind="quantiles", q=0.5)}, steps)
+    exact = df.where("status IS NOT NULL AND priority IS NOT NULL").groupBy("status").agg(F.percentile("total", 0.45).alias("lo"), F.percentile("total", 0.55).alias("hi"))
+    return got.join(exact, "status").selectExpr("status", "median BETWEEN lo AND hi AS near")
+
+
+@query("sketch_top", "SELECT flag, kind AS item, count(*) AS n FROM (SELECT flag, CASE WHEN quantity % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM sale_lines WHERE flag IS NOT NULL AND quantity IS NOT NULL) GROUP BY ALL")
+def _(spark, sf):
+    """Counts of few different values are exact."""
+    df = load(spark, sf, "sale_lines").where("quantity IS NOT NULL").select("flag", "line_no", F.when(F.col("quantity") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    steps = {"fine": node("GROUP_BY", tab("source"), by=["flag", "line_no"], agg={"kind": "sketch_top"}), "all": node("GROUP_BY", step("fine"), by="flag", agg={"kind": "merge_top"}), "sketch": node("COPY", step("all"), column="kind")}
+    got = run(df, {"flag": node("COPY", step("all"), column="flag"), "top": node("SKETCH_VALUE", step("sketch"), kind="top", k=5)}, steps)
+    return got.select("flag", F.explode("top").alias("t")).select("flag", F.col("t.item").alias("item"), F.col("t.count").alias("n"))
+
+
+# ---- JSON ----------------------------------------------------------------------------
+
+
+@query("json_get", "SELECT click_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.device.os' AS os, CASE WHEN json_type(props, '$.tags') = 'ARRAY' THEN json_array_length(props, '$.tags') END::INTEGER AS n_tags FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS props FROM clicks)")
+def _(spark, sf):
+    steps = {"tags": node("JSON_GET", col("props"), path="$.tags", type="array<string>")}
+    outputs = {"click_id": node("COPY", col("click_id")), "k": node("JSON_GET", col("props"), path="$.k", type="bigint"), "os": node("JSON_GET", col("props"), path="$.device.os"), "n_tags": node("COMPUTE_EXPR", formula="len(tags)")}
+    return run(load(spark, sf, "clicks").select("click_id", "props"), outputs, steps)
+
+
+@query("expand_json", "SELECT click_id, TRY_CAST(p->>'$.k' AS BIGINT) AS p_k, p->>'$.device.os' AS os FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS p FROM clicks)")
+def _(spark, sf):
+    steps = {"wide": node("EXPAND_JSON", tab("source"), column="props", prefix="p_"), "device": node("COPY", step("wide"), column="p_device")}
+    steps["k"] = node("COPY", step("wide"), column="p_k")  # numbers and texts: a VARIANT
+    return run(load(spark, sf, "clicks").select("click_id", "props"), {**pick("wide", "click_id"), "p_k": node("JSON_GET", step("k"), path="$", type="bigint"), "os": node("COMPUTE_EXPR", formula="device['os']")}, steps)
+
+
+@query("loop_expr", "SELECT click_id, CASE WHEN list_contains(tags, 'a') THEN true WHEN len(list_filter(tags, lambda t: t IS NULL)) > 0 THEN NULL WHEN tags IS NOT NULL THEN false END AS has_a, list_transform(list_filter(tags, lambda t: t <> 'b'), lambda t: upper(t))::VARCHAR AS others, tags[1] AS first FROM (SELECT click_id, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract(props, '$.tags') AS VARCHAR[]) END AS tags FROM clicks)")
+def _(spark, sf):
+    steps = {"tags": node("JSON_GET", col("props"), path="$.tags", type="array<string>"), "rest": node("COMPUTE_EXPR", formula="[t.str.upper() for t in tags if t != 'b']")}
+    outputs = {"click_id": node("COPY", col("click_id")), "has_a": node("COMPUTE_EXPR", formula="any(t == 'a' for t in tags)"), "others": node("COPY", step("rest")), "first": node("COMPUTE_EXPR", formula="tags[0]")}
+    out = run(load(spark, sf, "clicks").select("click_id", "props"), outputs, steps)
+    return out.withColumn("others", F.when(F.col("others").isNotNull(), F.concat(F.lit("["), F.concat_ws(", ", "others"), F.lit("]"))))
