@@ -294,3 +294,30 @@ def test_bad_options_are_found():
     assert findings("WINDOW_APPLY", function="sum", target_column="x", order_by="x", frame={"kind": "rows", "start": 2, "end": 1})
     assert findings("WINDOW_APPLY", function="sum", target_column="x", order_by="x", frame={"kind": "rows", "end": 1})
     assert not findings("RANGE_JOIN", left_start="x", right_start="x") and not findings("ASOF_JOIN", left_at="x", right_at="x", tolerance=1.5)
+
+
+# ---- functions of the user's own ---------------------------------------------------
+
+
+def test_user_functions(spark, monkeypatch):
+    from weftline.operators import user
+
+    monkeypatch.setattr(user, "AGGREGATES", {})
+    monkeypatch.setattr(user, "TABLES", {})
+    monkeypatch.setattr(user, "HELD_KEYS", 3)
+    user.register_aggregate("mean_of", lambda v: {"n": int(v.notna().sum()), "s": float(v.sum())}, lambda xs: {"n": sum(x["n"] for x in xs), "s": sum(x["s"] for x in xs)}, lambda x: x["s"] / x["n"] if x["n"] else None, "struct<n:bigint,s:double>", "double")
+    user.register_table_function("doubled", lambda it: (p.assign(w=p["v"] * 2)[["id", "w"]] for p in it), "id long, w double")
+    with pytest.raises(ValueError):
+        user.register_aggregate("mean_of", None, None, None, "double", "double")
+    data = [(i, "hot" if i % 3 else f"k{i % 7}", None if i % 4 == 0 else float(i)) for i in range(200)] + [(900, None, 1.0), (901, "none", None)]
+    df = spark.createDataFrame(data, "id long, k string, v double").repartition(6)
+    got = rows(run(df, pick("a", "k", "m"), {"a": node("AGGREGATE_BY", tab("source"), by="k", column="v", function="mean_of", output="m")}))
+    groups: dict = {}
+    for _, k, v in data:
+        if k is not None:
+            groups.setdefault(k, []).append(v)
+    assert {k: m for k, m in got} == {k: pytest.approx(sum(v for v in vs if v is not None) / len([v for v in vs if v is not None])) if any(v is not None for v in vs) else None for k, vs in groups.items()}
+    assert run(df.limit(0), pick("a", "k"), {"a": node("AGGREGATE_BY", tab("source"), by="k", column="v", function="mean_of")}).count() == 0
+    table = run(df, pick("t", "id", "w"), {"t": node("APPLY_TABLE", tab("source"), columns=["id", "v"], function="doubled")})
+    assert table.where("id = 199").first().w == 398.0 and table.count() == 202
+    assert findings("AGGREGATE_BY", by="x", column="x", function="absent") and findings("APPLY_TABLE", function="absent")

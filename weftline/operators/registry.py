@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from . import bags, entity, meeting, nested, relational, sampling, scalar, sketches, subqueries, window
+from . import bags, entity, meeting, nested, relational, sampling, scalar, sketches, subqueries, user, window
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,8 @@ OPERATORS: dict[str, Operator] = {
     "WHERE_EXISTS": Operator(subqueries.where_exists, 2, table=True, check=subqueries.check_correlation),
     "WHERE_IN": Operator(subqueries.where_in, 2, ("column",), table=True, check=subqueries.check_correlation),
     "SCALAR_SUBQUERY": Operator(subqueries.scalar_subquery, 2, ("column", "agg"), table=True, check=subqueries.check_correlation),
+    "AGGREGATE_BY": Operator(user.aggregate_by, required=("by", "column", "function"), table=True, check=user.check_aggregate),
+    "APPLY_TABLE": Operator(user.apply_table, required=("function",), table=True, check=user.check_table),
     "SAMPLE": Operator(sampling.sample, table=True, check=sampling.check_sample),
     "SKETCH_VALUE": Operator(sketches.value, required=("kind",), check=sketches.check_value),
     "PARSE_JSON": Operator(nested.parse_json),

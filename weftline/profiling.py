@@ -34,13 +34,16 @@ def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def statistics(df: DataFrame) -> DataFrame:
-    """column, rows, nulls, distinct_values, min_value, max_value (numbers as double) of every column."""
+def statistics(df: DataFrame, exact: bool = True) -> DataFrame:
+    """column, rows, nulls, distinct_values, min_value, max_value (numbers as double) of every column.
+
+    Exact distinct counts write every row once a column; sketches (``exact=False``, 2 % at one sigma) need one pass.
+    """
     num = set(_numeric(df))
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(df.columns):
         v = F.col(f"`{c}`")
-        aggs += [F.count(v).alias(f"c{i}"), F.count_distinct(v).alias(f"d{i}")]
+        aggs += [F.count(v).alias(f"c{i}"), (F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.02)).alias(f"d{i}")]
         aggs += [f(v.cast("double") if c in num else F.lit(None).cast("double")).alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max))]
     rows = F.array(*(
         F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), (F.col("n") - F.col(f"c{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct_values"), F.col(f"l{i}").alias("min_value"), F.col(f"h{i}").alias("max_value"))
@@ -87,10 +90,11 @@ def concept_matches(df: DataFrame, order: str | None = None) -> DataFrame:
     return parts
 
 
-def profile(df: DataFrame, max_sample_rows: int = 10_000, order: str | None = None) -> dict[str, Any]:
-    """A dictionary of what each column holds; larger tables are profiled on a fixed sample."""
-    df = hash_sample(df, max_sample_rows)
-    stats = {r["column"]: r for r in statistics(df).collect()}
+def profile(df: DataFrame, max_sample_rows: int | None = 10_000, order: str | None = None) -> dict[str, Any]:
+    """A dictionary of what each column holds; larger tables are profiled on a fixed sample, or whole and with sketched distinct counts if ``max_sample_rows`` is None."""
+    whole = max_sample_rows is None
+    df = df if whole else hash_sample(df, max_sample_rows)
+    stats = {r["column"]: r for r in statistics(df, exact=not whole).collect()}
     tops: dict[str, list] = {}
     for r in top_values(df).orderBy("column", "rank").collect():
         tops.setdefault(r["column"], []).append(r["value"])

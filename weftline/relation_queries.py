@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .contracts import trust
+from .graph import shared_folder
+from .ontology import infer_model
+from .operators import user
+from .profiling import profile, statistics
 from .queries import col, load, node, pick, query, run, step, tab
+from .sources.readers import CsvSource
 
 # ---- joins by interval ---------------------------------------------------------------
 
@@ -269,3 +277,89 @@ def _(spark, sf):
     outputs = {"click_id": node("COPY", col("click_id")), "has_a": node("COMPUTE_EXPR", formula="any(t == 'a' for t in tags)"), "others": node("COPY", step("rest")), "first": node("COMPUTE_EXPR", formula="tags[0]")}
     out = run(load(spark, sf, "clicks").select("click_id", "props"), outputs, steps)
     return out.withColumn("others", F.when(F.col("others").isNotNull(), F.concat(F.lit("["), F.concat_ws(", ", "others"), F.lit("]"))))
+
+
+# ---- functions of the user's own -----------------------------------------------------
+
+
+def _spread_partial(values):
+    known = values.dropna()
+    return {"n": len(known), "low": float(known.min()) if len(known) else None, "high": float(known.max()) if len(known) else None}
+
+
+def _spread_merge(states):
+    known = [s for s in states if s["n"]]
+    return {"n": sum(s["n"] for s in states), "low": min((s["low"] for s in known), default=None), "high": max((s["high"] for s in known), default=None)}
+
+
+def _tags(batches):
+    """A row for each word of an item's name."""
+    for pdf in batches:
+        words = pdf.assign(word=pdf["name"].str.split(" ")).explode("word")
+        yield words[words["word"].notna()][["item_id", "word"]]
+
+
+user.register_aggregate("spread", _spread_partial, _spread_merge, lambda s: s["high"] - s["low"] if s["n"] else None, "struct<n:bigint,low:double,high:double>", "double")
+user.register_table_function("name_words", _tags, "item_id long, word string")
+
+
+@query("user_aggregate", "SELECT client_id, max(total) - min(total) AS spread FROM sales WHERE client_id IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    return run(load(spark, sf, "sales"), pick("s", "client_id", "spread"), {"s": node("AGGREGATE_BY", tab("source"), by="client_id", column="total", function="spread")})
+
+
+@query("user_table_function", "SELECT item_id, unnest(string_split(name, ' ')) AS word FROM items")
+def _(spark, sf):
+    return run(load(spark, sf, "items"), pick("w", "item_id", "word"), {"w": node("APPLY_TABLE", tab("source"), columns=["item_id", "name"], function="name_words")})
+
+
+# ---- whole reports, models and readers -----------------------------------------------
+
+
+@query(
+    "profile_report",
+    """SELECT 'o_orderkey' AS column, 'numeric' AS kind, 0.0 AS null_ratio FROM orders HAVING count(*) > 0 UNION ALL SELECT 'o_orderpriority', 'string_or_categorical', 0.0 UNION ALL SELECT 'half', 'numeric', round((SELECT count(*) FILTER (o_orderkey % 2 = 0) / count(*) FROM orders), 4)""",
+)
+def _(spark, sf):
+    """The profile of the whole table, a row a column."""
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 2 != 0, F.col("o_orderkey")).alias("half"))
+    fields = profile(df, max_sample_rows=None)["fields"]
+    return spark.createDataFrame([(c, f["logical_type"], f["null_ratio"]) for c, f in fields.items()], "column string, kind string, null_ratio double")
+
+
+@query("approximate_statistics", "SELECT 'sale_id' AS column, count(*) AS rows, count(*) - count(sale_id) AS nulls, true AS near FROM sales UNION ALL SELECT 'client_id', count(*), count(*) - count(client_id), true FROM sales")
+def _(spark, sf):
+    """Sketched distinct counts lie within 8 % of the exact ones."""
+    df = load(spark, sf, "sales").select("sale_id", "client_id")
+    exact = df.agg(*(F.count_distinct(c).alias(c) for c in df.columns)).select(F.explode(F.create_map(*(x for c in df.columns for x in (F.lit(c), F.col(c))))).alias("column", "exact"))
+    return statistics(df, exact=False).join(exact, "column").selectExpr("column", "rows", "nulls", "abs(distinct_values - exact) <= greatest(3, 0.08 * exact) AS near")
+
+
+_RULES_SQL = lambda c, kind: f"SELECT '{c}' AS field, '{kind}' AS type, concat_ws(',', CASE WHEN min({c}) >= 0 THEN 'non_negative' END, CASE WHEN count({c}) = count(*) THEN 'not_null' END, CASE WHEN '{kind}' = 'int' AND count(DISTINCT {c}) = count(*) THEN 'unique' END) AS rules FROM customer"
+
+
+@query("infer_model", " UNION ALL ".join(_RULES_SQL(c, k) for c, k in (("c_custkey", "int"), ("c_nationkey", "int"), ("c_acctbal", "float"))))
+def _(spark, sf):
+    model = infer_model(load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "customers")
+    rules = model["odcs_contracts"]["row_level_rules"]
+    rows = [(f, s["type"], ",".join(sorted(r["assertion"] for r in rules if r.get("column") == f))) for f, s in model["fields"].items()]
+    return spark.createDataFrame(rows, "field string, type string, rules string")
+
+
+@query("csv_round_trip", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, sf):
+    """Written as CSV to the shared folder and read back as text."""
+    path = f"{shared_folder(spark)}/csv/{uuid.uuid4().hex}"
+    load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    back = CsvSource(spark, path, schema="c_custkey string, c_name string, c_mktsegment string").read()
+    return back
+
+
+@query(
+    "contract_report",
+    "SELECT 'not_null' AS rule, count(*) FILTER (client_id IS NULL) AS affected FROM sales HAVING count(*) FILTER (client_id IS NULL) > 0 UNION ALL SELECT 'non_negative', count(*) FILTER (total < 0) FROM sales HAVING count(*) FILTER (total < 0) > 0 UNION ALL SELECT 'range', count(*) FILTER (total > 100) FROM sales HAVING count(*) FILTER (total > 100) > 0",
+)
+def _(spark, sf):
+    rules = [{"assertion": "not_null", "column": "client_id"}, {"assertion": "non_negative", "column": "total"}, {"assertion": "range", "column": "total", "max": 100}]
+    report = trust.evaluate(load(spark, sf, "sales"), {"row_level_rules": rules}).report
+    return spark.createDataFrame([(e.rule.split("(")[0], e.affected_rows) for e in report.errors], "rule string, affected long")

@@ -8,9 +8,12 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..graph import shared_folder
 
@@ -102,26 +105,47 @@ def sqlite_tables(path: str) -> list[str]:
         return [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
 
 
+def _sent_out(spark: SparkSession, path: str) -> str:
+    """Gives every executor a copy of a local file; the name to find it by."""
+    name = f"sqlite-{uuid.uuid4().hex}.db"
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files/{name}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{Path(path).resolve()}"), target)
+    spark.sparkContext.addFile(str(target.toString()))
+    return name
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str, batch: int = 50_000) -> DataFrame:
-    """A table of a local SQLite file, in batches through the driver (SQLite is a single-machine format)."""
+    """A table of a local SQLite file. The file goes to the executors, whose tasks read ``batch`` row ids each; a table without row ids is one task."""
+    if table not in sqlite_tables(path):
+        raise ValueError(f"no table {table}")
     with sqlite3.connect(path) as con:
-        if table not in sqlite_tables(path):
-            raise ValueError(f"no table {table}")
         cols = con.execute(f'PRAGMA table_info("{table}")').fetchall()
-        kinds = {"INTEGER": T.LongType(), "REAL": T.DoubleType()}
-        schema = T.StructType([T.StructField(c[1], kinds.get(c[2].upper(), T.StringType())) for c in cols])
-        text = [isinstance(f.dataType, T.StringType) for f in schema.fields]
-
-        def rows() -> Iterator[list[tuple]]:
-            cur = con.execute(f'SELECT * FROM "{table}"')
-            while got := cur.fetchmany(batch):
-                yield [tuple(str(v) if t and v is not None else v for v, t in zip(r, text, strict=True)) for r in got]
-
-        folder = f"{shared_folder(spark)}/tables/sqlite-{uuid.uuid4().hex}"
-        spark.createDataFrame([], schema).write.parquet(folder)
-        for p in rows():  # written as they come, so the driver holds one batch
-            spark.createDataFrame(p, schema).write.mode("append").parquet(folder)
-    return spark.read.schema(schema).parquet(folder)
+        try:
+            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+        except sqlite3.OperationalError:
+            low = high = None
+            batch = 0
+    kinds = {"INTEGER": T.LongType(), "REAL": T.DoubleType()}
+    schema = T.StructType([T.StructField(c[1], kinds.get(c[2].upper(), T.StringType())) for c in cols])
+    if batch and low is None:
+        return spark.createDataFrame([], schema)
+    file = _sent_out(spark, path)
+    names, kind = [f.name for f in schema.fields], to_arrow_schema(schema)
+    cells = [str if isinstance(f.dataType, T.StringType) else float if isinstance(f.dataType, T.DoubleType) else int for f in schema.fields]
+    listed = ", ".join(f'"{n}"' for n in names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with sqlite3.connect(SparkFiles.get(file)) as con:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    where = f" WHERE rowid >= {low + i * batch} AND rowid < {low + (i + 1) * batch}" if batch else ""
+                    cur = con.execute(f'SELECT {listed} FROM "{table}"{where}')
+                    while got := cur.fetchmany(10_000):
+                        columns = [[None if v is None else cast(v) for v in c] for c, cast in zip(zip(*got, strict=True), cells, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types, strict=True)], schema=kind)
+
+    parts = (high - low) // batch + 1 if batch else 1
+    return spark.range(0, parts, 1, min(parts, 1_000)).mapInArrow(rows, schema)
 
 
 def export_sqlite(spark: SparkSession, path: str, folder: str) -> list[str]:
