@@ -26,7 +26,7 @@ def test_stages_in_order(spark, docs, tmp_path):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_subpackage():
