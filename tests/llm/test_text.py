@@ -259,3 +259,16 @@ def test_shards_are_searched_side_by_side(spark):
 def test_columns_of_any_name_are_kept(spark):
     df = spark.createDataFrame([(i, "plain words of a text " * 20 + str(i), "en", "s", i, i, i) for i in range(3)], "doc_id long, text string, lang string, source string, __q int, q int, row int")
     assert keep_good(df).columns == df.columns
+
+
+def test_vectors_of_different_lengths_are_searched_apart(spark):
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(64 if i % 3 else 128)]) for i in range(120)]
+    codes = sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for x in top_k(codes, every_fiftieth(codes), 4).collect():
+        got.setdefault(x.query_id, []).append((x.distance, x.id))
+    bits = {i: [v > 0 for v in vs] for i, vs in rows}
+    for q in (0, 50, 100):
+        near = sorted((sum(a != b for a, b in zip(bits[q], bits[i], strict=True)), i) for i in bits if len(bits[i]) == len(bits[q]))
+        assert sorted(got[q]) == near[:4]

@@ -82,7 +82,8 @@ class MultiIndex:
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, code): one bit a dimension, set where the value is above zero, padded to whole segments.
 
-    Rows with a null id or vector are left out; a null value gives an unset bit.
+    Rows with a null id or vector are left out; a null value gives an unset bit. Vectors
+    of different lengths may give codes of different lengths.
     """
     bits = F.transform(F.col("v"), lambda x: F.when(x > 0, "1").otherwise("0"))
     whole = F.ceil(F.length("b") / SEGMENT) * SEGMENT
@@ -96,8 +97,8 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, id, distance: the k nearest codes of every query, ties by smaller id.
 
-    ``codes`` and ``queries`` have (id, code) with codes of one length. A query
-    that is also a code finds itself. Fewer than k codes give fewer rows; empty
+    ``codes`` and ``queries`` have (id, code); a query is compared with the codes of
+    its own length. A query that is also a code finds itself. Fewer than k codes give fewer rows; empty
     tables none. Repeated ids are separate rows.
     """
     n, q = codes.count(), queries.count()
@@ -105,10 +106,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     blocks = max(1, math.ceil(q / BLOCK_QUERIES))
     part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = codes.select("id", "code", part("id", shards).alias("shard"), spread(blocks).alias("block"))
-    right = queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"), spread(shards).alias("qshard"), part("id", blocks).alias("qblock"))
+    left = codes.select("id", "code", F.length("code").alias("size"), part("id", shards).alias("shard"), spread(blocks).alias("block"))
+    right = queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"), F.length("code").alias("qsize"), spread(shards).alias("qshard"), part("id", blocks).alias("qblock"))
     # a number of partitions that is asked for is not merged, so the shards are searched side by side
-    left, right = left.repartition(2 * shards * blocks, "shard", "block"), right.repartition(2 * shards * blocks, "qshard", "qblock")
+    left, right = left.repartition(2 * shards * blocks, "shard", "block", "size"), right.repartition(2 * shards * blocks, "qshard", "qblock", "qsize")
 
     def search(_, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -122,7 +123,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 out.append(pd.DataFrame({"query_row": at + own, "query_id": asked[at + own], "id": ids[code], "distance": far}))
         return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "id": [], "distance": []})
 
-    local = left.groupBy("shard", "block").cogroup(right.groupBy("qshard", "qblock")).applyInPandas(search, "query_row long, query_id long, id long, distance long")
+    local = left.groupBy("shard", "block", "size").cogroup(right.groupBy("qshard", "qblock", "qsize")).applyInPandas(search, "query_row long, query_id long, id long, distance long")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
