@@ -14,6 +14,7 @@ from .operators import user
 from .profiling import profile, statistics
 from .queries import col, load, node, pick, query, run, step, tab
 from .sources.readers import CsvSource
+from .streaming import stateful
 
 # ---- joins by interval ---------------------------------------------------------------
 
@@ -363,3 +364,29 @@ def _(spark, sf):
     rules = [{"assertion": "not_null", "column": "client_id"}, {"assertion": "non_negative", "column": "total"}, {"assertion": "range", "column": "total", "max": 100}]
     report = trust.evaluate(load(spark, sf, "sales"), {"row_level_rules": rules}).report
     return spark.createDataFrame([(e.rule.split("(")[0], e.affected_rows) for e in report.errors], "rule string, affected long")
+
+
+# ---- streams -------------------------------------------------------------------------
+
+
+@query("stream_occurrences", "SELECT client_id, count(*) AS n FROM (SELECT DISTINCT client_id, sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL) GROUP BY 1")
+def _(spark, sf):
+    """Sales as a stream: each client's rows are numbered across micro-batches; the highest number is the client's count."""
+    path = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    table = load(spark, sf, "sales").select("sale_id", "client_id", "sold_at").dropDuplicates(["sale_id", "client_id"])
+    table.repartition(2).write.parquet(f"{path}/in")
+    feed = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    numbered = stateful.occurrences(feed, "client_id", "sold_at", late="3650 days", keep_hours=24 * 3650)
+    stateful.run_once(numbered, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").groupBy("client_id").agg(F.max("_occurrence").alias("n"))
+
+
+@query("stream_repeats", "SELECT count(*) - count(DISTINCT vendor_id) AS repeats, count(*) AS n FROM sale_lines WHERE vendor_id IS NOT NULL AND shipped_at IS NOT NULL")
+def _(spark, sf):
+    """The rule ``unique`` over a stream of sale lines: all rows of a vendor but the first break it."""
+    path = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    table = load(spark, sf, "sale_lines").select("sale_id", "vendor_id", "shipped_at")
+    table.repartition(3).write.parquet(f"{path}/in")
+    feed = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stateful.run_once(stateful.unique_rows(feed, "vendor_id", "shipped_at", late="3650 days", keep_hours=24 * 3650), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").agg(F.sum((F.size("_violations") > 0).cast("long")).alias("repeats"), F.count("*").alias("n"))
