@@ -62,7 +62,7 @@ SHARDS_MOST = 1 << 16
 ROUNDS = 1
 RATE = 0.3
 BATCH = 4096
-GROUP_CHARS = 600_000
+GROUP_CHARS, GROUP_TOKENS = 600_000, 100_000
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -151,6 +151,48 @@ def training(doc: int | None) -> bool:
     return not is_held_out(doc)
 
 
+class Written:
+    """Model ids of a group of documents, and ``ends``, as ``Tokens`` has them."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.ids = np.concatenate(parts).astype(np.int32)
+        self.ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+
+    @property
+    def doc_starts(self) -> np.ndarray:
+        return np.concatenate(([0], self.ends[:-1]))
+
+
+def written_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Written]:
+    """Groups of bounded size of rows whose first column holds ids (16 bits each)."""
+    parts, size = [], 0
+    for batch in batches:
+        for cell in batch.column(0):
+            parts.append(np.frombuffer(cell.as_buffer(), np.uint16))
+            size += len(parts[-1])
+            if size >= GROUP_TOKENS:
+                yield Written(parts)
+                parts, size = [], 0
+    if parts:
+        yield Written(parts)
+
+
+def training_ids(texts: DataFrame, index: HashIndex) -> DataFrame:
+    """(mark, ids) of the training documents, written down, so that their texts are split into words once for all that learns from them.
+
+    ``mark`` follows from id and text; ``ids`` holds 16 bits a token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for marks, t in token_groups(batches):
+            ids = model_ids(t, index).astype(np.uint16)
+            cells = [ids[a:b].tobytes() for a, b in zip(t.doc_starts, t.ends, strict=True)]
+            yield pa.record_batch([pa.array(marks, pa.int64()), pa.array(cells, pa.binary())], names=["mark", "ids"])
+
+    rows = texts.where("doc_id IS NULL OR crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").select(F.xxhash64("doc_id", "text").alias("mark"), "text")
+    return materialise(rows.mapInArrow(run, "mark long, ids binary"), "lm-ids")
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(h, rare, c) of all tokens of the training documents; tasks send sums."""
 
@@ -213,21 +255,20 @@ def cluster(table: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
-def learn_classes(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The class of each model id, START included."""
-    index, m = HashIndex(hashes), len(hashes)
+def learn_classes(learning: DataFrame, index: HashIndex, counts: np.ndarray) -> np.ndarray:
+    """The class of each model id, START included, from rows of ``training_ids``."""
+    m = len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CONTEXTS * MODEL_TOKENS, np.int64)
-        for _, t in token_groups(batches, training):
-            ids = model_ids(t, index)
-            prev = before(ids, t, 1)
+        for t in written_groups(batches):
+            ids, prev = t.ids, before(t.ids, t, 1)
             ok = (ids < MODEL_TOKENS) & (prev < CONTEXTS)
             table += np.bincount(prev[ok].astype(np.int64) * MODEL_TOKENS + ids[ok], minlength=len(table))
         cell = np.flatnonzero(table)
         yield pa.record_batch([pa.array(cell), pa.array(table[cell])], names=["cell", "n"])
 
-    cells = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS x MODEL_TOKENS rows
+    cells = learning.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS x MODEL_TOKENS rows
     table = np.zeros(CONTEXTS * MODEL_TOKENS)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     classes = np.zeros(START + 1, np.int8)
@@ -298,16 +339,15 @@ class Trees:
         return out
 
 
-def shards(texts: DataFrame, tokens: int) -> DataFrame:
-    """The training rows (doc_id, text, shard) in shards and an order that follow from their ids and texts.
+def shards(learning: DataFrame, tokens: int) -> DataFrame:
+    """The training rows (ids, shard) in shards and an order that follow from their ids and texts.
 
     Equal rows change places only with each other; all of them lie in one shard. A
     task may hold several shards, one after another.
     """
-    mark = F.xxhash64("doc_id", "text")
     n = int(min(SHARDS_MOST, max(1, -(-tokens // SHARD_TOKENS))))
-    numbered = texts.where("doc_id IS NULL OR crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").withColumn("mark", mark).withColumn("shard", F.pmod("mark", F.lit(n)))
-    return numbered.repartition(n, "shard").sortWithinPartitions("shard", "mark", "doc_id", "text").select("doc_id", "text", "shard")
+    numbered = learning.withColumn("shard", F.pmod("mark", F.lit(n)))
+    return numbered.repartition(n, "shard").sortWithinPartitions("shard", "mark", "ids").select("ids", "shard")
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
@@ -315,7 +355,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBa
 
     def pieces() -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
-            shard = batch.column(2).to_numpy()
+            shard = batch.column(1).to_numpy()
             edge = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b > a:
@@ -360,14 +400,14 @@ def _softmax_errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return z
 
 
-def train_round(docs: DataFrame, index: HashIndex, classes: np.ndarray, trees: Trees, weights: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def train_round(docs: DataFrame, classes: np.ndarray, trees: Trees, weights: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass of gradient updates over all training tokens; bounded sums come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_shard(batches):
             top, tables = _Table(weights), [_Table(x) for x in within]
-            for _, t in token_groups(part, training):
-                ids = model_ids(t, index)
+            for t in written_groups(part):
+                ids = t.ids
                 rows, target = feature_rows(ids, t).astype(np.uint16), classes[ids]
                 for at in range(0, len(ids), BATCH):
                     r, y = rows[at : at + BATCH], target[at : at + BATCH]
@@ -416,8 +456,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head_h, head_rare, head_c = _head(counts, COUNT_HEAD)
     model_h, model_c = head_h[:MODEL_TOKENS], head_c[:MODEL_TOKENS]
-    classes = learn_classes(texts, model_h, model_c)
     index = HashIndex(model_h)
+    written = training_ids(texts, index)
+    classes = learn_classes(written, index, model_c)
 
     # counts and distinct tokens of each class: rare classes from all counts, less the tokens that have a cluster
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -433,9 +474,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights[-1] = np.log((n_class + 1) / (n_class.sum() + CLASSES))
     trees = Trees(own, model_c, int(total))
     within = np.zeros((2, trees.rows, BRANCH), np.float32)
-    learning = shards(texts, int(total))
+    learning = shards(written, int(total))
     for _ in range(rounds):
-        weights, within = train_round(learning, index, classes, trees, weights, within)
+        weights, within = train_round(learning, classes, trees, weights, within)
     return _scored(spark, texts, counts, (head_h, head_c), index, classes, trees, weights, within, in_class, int(total), int(distinct))
 
 
