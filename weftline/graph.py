@@ -1,4 +1,4 @@
-"""Lineage cuts and connected groups for engine operators."""
+"""Lineage cuts, internal names and running sums for engine operators."""
 
 from __future__ import annotations
 
@@ -69,22 +69,3 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     out = inside.join(F.broadcast(ends), F.col(hidden("p")) == F.col(hidden("q")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.withColumns({n: zero(n) + zero(hidden(f"b_{n}")) for n in sums}).drop(hidden("p"), hidden("q"), *(hidden(f"b_{n}") for n in sums))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected edges (u, v): the least node reachable.
-
-    Every round takes the least label among neighbours and then that label's own
-    label (pointer jumping), until nothing changes.
-    """
-    both = keep(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        step = labels.join(seen, labels["node"] == seen["u"]).select("node", "component", F.least("component", "m").alias("low"))
-        roots = labels.select(F.col("node").alias("r"), F.col("component").alias("rc"))
-        new = keep(step.join(roots, F.col("low") == F.col("r"), "left").select("node", F.col("component").alias("old"), F.least("low", F.coalesce("rc", "low")).alias("component")))
-        changed = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.coerce import is_missing, lit, number, whole
-from ..graph import components, hidden, is_hidden, keep, running
+from ..graph import hidden, is_hidden, keep, running
 from ..operators.registry import OPERATORS
 from .document import Node, Plan, PlanError, order, sub_order, validate
 
@@ -127,9 +127,6 @@ class Context:
     def keep(self, df: DataFrame) -> DataFrame:
         return keep(df)
 
-    def groups(self, edges: DataFrame) -> DataFrame:
-        return components(edges)
-
     def mapped(self, series: Series, table: DataFrame) -> Series:
         """Values replaced through (value, leader); the table is joined, its size decides how."""
         rel, name = series.relation, hidden(f"s_{self.step}_{next(_ids)}")

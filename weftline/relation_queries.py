@@ -13,7 +13,8 @@ from .ontology import infer_model
 from .operators import user
 from .profiling import profile, statistics
 from .queries import col, load, node, pick, query, run, step, tab
-from .sources.readers import CsvSource
+from .sources.readers import CsvSource, TableSource
+from .sources.sinks import write_csv, write_table
 from .streaming import stateful
 
 # ---- joins by interval ---------------------------------------------------------------
@@ -390,3 +391,46 @@ def _(spark, sf):
     feed = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     stateful.run_once(stateful.unique_rows(feed, "vendor_id", "shipped_at", late="3650 days", keep_hours=24 * 3650), f"{path}/out", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/out").agg(F.sum((F.size("_violations") > 0).cast("long")).alias("repeats"), F.count("*").alias("n"))
+
+
+# ---- files, sinks and findings -------------------------------------------------------
+
+for _form in ("orc", "json"):
+
+    @query(f"{_form}_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+    def _(spark, sf, form=_form):
+        path = f"{shared_folder(spark)}/{form}/{uuid.uuid4().hex}"
+        load(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.format(form).save(path)
+        return TableSource(spark, path, form).read().select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("table_sink", "SELECT p_partkey, p_brand, true AS stamped FROM part UNION ALL SELECT p_partkey, p_brand, true FROM part")
+def _(spark, sf):
+    """Two appends of a table, each stamped with its time."""
+    path = f"{shared_folder(spark)}/sinks/{uuid.uuid4().hex}"
+    parts = load(spark, sf, "part").select("p_partkey", "p_brand")
+    for _ in range(2):
+        write_table(parts, path, partition_by=["p_brand"])
+    return spark.read.parquet(path).select("p_partkey", F.col("p_brand").cast("string").alias("p_brand"), F.col("_compiled_at").isNotNull().alias("stamped"))
+
+
+@query("csv_sink", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/sinks/{uuid.uuid4().hex}"
+    write_csv(load(spark, sf, "nation").select("n_nationkey", "n_name"), path, ";")
+    return CsvSource(spark, path, delimiter=";", schema="n_nationkey string, n_name string").read()
+
+
+@query("fallback_halt", "SELECT sale_id, CASE WHEN sale_id % 4 <> 0 THEN status END AS status FROM sales")
+def _(spark, sf):
+    """HALT and KEEP_NULL leave nulls to the contracts."""
+    df = load(spark, sf, "sales").select("sale_id", F.when(F.col("sale_id") % 4 != 0, F.col("status")).alias("status"))
+    return run(df, {"sale_id": node("COPY", col("sale_id")), "status": node("COPY", col("status"))}, fields={"sale_id": {}, "status": {"fallback_strategy": "HALT"}})
+
+
+@query("unsupported_findings", "SELECT 'teleport' AS rule, 'unsupported assertion' AS note, count(*) AS n_rows FROM orders")
+def _(spark, sf):
+    """A rule of an unknown kind is noted and breaks nothing."""
+    done = trust.evaluate(load(spark, sf, "orders"), {"row_level_rules": [{"assertion": "teleport", "column": "o_orderkey"}], "global_invariants": [{"type": "unheard_of"}]})
+    report = done.report
+    return spark.createDataFrame([(w.rule.split("(")[0], w.note, report.total_rows) for w in report.warnings], "rule string, note string, n_rows long")
