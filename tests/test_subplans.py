@@ -170,3 +170,14 @@ def test_loops(spark):
     for bad in ("[a for a in xs for b in xs]", "xs[True]", "xs[1:2]", "json(j, k)", "any(xs)", "[a async for a in xs]"):
         with pytest.raises(ExpressionError):
             value(spark, bad, xs=xs, j="'x'", k="'y'")
+
+
+def test_totals_of_nulls_do_not_lower_the_mean(spark, tmp_path):
+    """As in SQL, a client whose totals are all null counts neither as zero in the mean nor as a row above it."""
+    from weftline.queries import QUERIES
+
+    rows_in = [(1, 10.0), (2, 8.0), (3, 12.0), (3, None), (4, None), (5, None)]
+    spark.createDataFrame(rows_in, "client_id long, total double").withColumn("status", F.lit("done")).write.parquet(str(tmp_path / "sales.parquet"))
+    assert rows(QUERIES["shared_sub_plan"](spark, str(tmp_path))) == Counter([(3, 12.0)])
+    sums = lambda **how: rows(run(spark.createDataFrame(rows_in, "g long, v double"), pick("s", "g", "v"), {"s": node("GROUP_BY", tab("source"), by="g", agg={"v": "sum"}, **how)}))
+    assert sums(null_sum=True)[(4, None)] == 1 and sums()[(4, 0.0)] == 1

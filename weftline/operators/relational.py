@@ -84,13 +84,15 @@ def union(args, opts, ctx):
     return ctx.fresh(out.distinct() if opts.get("distinct", True) else out)
 
 
-def _aggregate(df: DataFrame, c: str, how: str, rid: str | None) -> Column:
+def _aggregate(df: DataFrame, c: str, how: str, rid: str | None, null_sum: bool = False) -> Column:
     v = F.col(f"`{c}`")
     simple = {
         "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "nunique": F.count_distinct, "std": F.stddev_samp, "var": F.var_samp, "median": F.median, "prod": F.product,
     }
     if how == "sum":
         kind = df.schema[c].dataType
+        if null_sum:
+            return F.sum(v)
         return F.coalesce(F.sum(v), F.lit(0).cast("double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long"))
     if how == "size":
         return F.count("*")
@@ -129,6 +131,7 @@ def group_by(args, opts, ctx):
     ``sets`` (cube, rollup, or lists of keys) gives a row for the groups of each set, other keys null.
     ``null_keys: true`` then keeps null keys, and ``grouping_id`` names a column that tells them from the
     nulls of subtotals: one bit a key, first key highest, 1 where the key is summed over. An empty table has no groups, nor a grand total.
+    The sum of nothing but nulls is zero, or null with ``null_sum: true``, as in SQL.
     """
     rel, by = ctx.relation(args[0]), _listed(opts["by"])
     agg = opts["agg"] if isinstance(opts["agg"], dict) else None
@@ -139,7 +142,7 @@ def group_by(args, opts, ctx):
         rid = ctx.row_ids(rel)
     df = rel.df
     out = [
-        _aggregate(df, c, how, rid).alias(c if isinstance(v, str) else f"{c}_{how}")
+        _aggregate(df, c, how, rid, bool(opts.get("null_sum"))).alias(c if isinstance(v, str) else f"{c}_{how}")
         for c, v in agg.items() for how in _listed(v)
     ]
     kept = reduce(lambda x, y: x & y, (F.col(f"`{k}`").isNotNull() for k in by))

@@ -195,7 +195,7 @@ def _(spark, sf):
     from .plans.compiler import compile_plan
     from .plans.document import read_plan
 
-    spent = {"intermediate_steps": {"done": node("FILTER", tab("source"), condition="status == 'done'"), "sums": node("GROUP_BY", step("done"), by="client_id", agg={"total": "sum"})}, "output_mappings": pick("sums", "client_id", "total"), "materialise": True}
+    spent = {"intermediate_steps": {"done": node("FILTER", tab("source"), condition="status == 'done'"), "sums": node("GROUP_BY", step("done"), by="client_id", agg={"total": "sum"}, null_sum=True)}, "output_mappings": pick("sums", "client_id", "total"), "materialise": True}
     plan = {
         "sub_plans": {"spent": spent},
         "intermediate_steps": {"with_mean": node("THETA_JOIN", tab("spent"), tab("means"), condition="total > average")},
