@@ -304,6 +304,21 @@ def test_similar_lines_are_found(spark, plan, monkeypatch):
     assert min(share.values()) >= 0.9, share
 
 
+def test_what_is_found_does_not_depend_on_the_size_of_the_table(spark):
+    """Ten megabytes without a letter beside them change nothing for 300 hardly similar pairs."""
+    r = random.Random(5)
+    pairs = []
+    while len(pairs) < 300:
+        a, b = changed_lines(r, 10, 2, r.choice(("word", "typo")))
+        if a != b and similar_lines(a, b):
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    found = lambda more: {x.row.doc_id: x.n_dropped for x in dedup_lines(spark.createDataFrame(rows + more, "doc_id long, text string")).collect() if x.row.doc_id < 600}
+    alone = found([])
+    assert sum(alone.values()) > 250
+    assert found([(1000 + i, "7" * 1_000_000) for i in range(10)]) == alone
+
+
 @pytest.mark.parametrize("crowd, broadcast", [(16, 1_000_000), (2, 0)])
 def test_lines_against_brute_force(spark, crowd, broadcast, monkeypatch):
     """Nothing is dropped that brute force keeps, and nearly all that it drops goes; also with crowded keys and shuffled texts."""
