@@ -321,3 +321,31 @@ def test_user_functions(spark, monkeypatch):
     table = run(df, pick("t", "id", "w"), {"t": node("APPLY_TABLE", tab("source"), columns=["id", "v"], function="doubled")})
     assert table.where("id = 199").first().w == 398.0 and table.count() == 202
     assert findings("AGGREGATE_BY", by="x", column="x", function="absent") and findings("APPLY_TABLE", function="absent")
+
+
+# ---- work by pairs -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_having_an_interval_makes_no_pairs(spark, how, monkeypatch):
+    """Neither side is cut into bins: what reaches furthest is carried along."""
+    monkeypatch.setattr(meeting, "in_bins", None)
+    a = spark.range(3000).selectExpr("id", "id * 1.0D AS lo", "id + 0.5D AS hi")
+    b = spark.range(300).selectExpr("id AS j", "id * 10.0D AS lo", "CASE WHEN id = 100 THEN 1500.0D ELSE id * 10.0D + 2 END AS hi")
+    got = met(a, b, "RANGE_JOIN", ("id",), left_start="lo", left_end="hi", right_start="lo", right_end="hi", how=how)
+    inside = {i for i in range(3000) if i % 10 <= 2 or 1000 <= i <= 1500}
+    assert {r.id for r in got.collect()} == (inside if how == "left_semi" else set(range(3000)) - inside)
+
+
+def partitions(df):
+    return df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+
+
+def test_few_bytes_of_many_pairs_fill_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(meeting, "TASK_PAIRS", 10_000)
+    a, b = spark.range(2000).selectExpr("id", "id % 7 AS v", "id * 0.001D AS at").coalesce(1), spark.range(300).selectExpr("id AS j", "id % 5 AS w", "0.0D AS lo", "1.0D + id * 0.01D AS hi").coalesce(1)
+    for broadcast in (0, 10_000):
+        found = partitions(met(a, b, "THETA_JOIN", ("id", "j"), condition="v > w", broadcast_rows=broadcast))
+        assert sum(found) == sum(1 for i in range(2000) for j in range(300) if i % 7 > j % 5) and sum(x > 0 for x in found) > 20
+    found = partitions(met(a, b, "RANGE_JOIN", ("id", "j"), left_start="at", right_start="lo", right_end="hi"))
+    assert sum(found) > 100_000 and len(found) > 10

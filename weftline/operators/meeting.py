@@ -23,6 +23,8 @@ from ..graph import keep
 KEY_ROWS = 100_000
 #: A side of at most so many rows is broadcast, after it has been counted.
 BROADCAST_ROWS = 10_000
+#: Pairs of rows that a task may compare; more are dealt to more tasks.
+TASK_PAIRS = 50_000_000
 #: Quantiles of interval lengths that become bin widths.
 QUANTILES = (0.5, 0.9, 0.99, 1.0)
 HOWS = ("inner", "left", "left_semi", "left_anti")
@@ -59,16 +61,15 @@ class Sides:
         out = {f"{c}_x" if c in self.shared else c: self.l(c) for c in self.left.columns}
         return out | {f"{c}_y" if c in self.shared else c: self.r(c) for c in self.right.columns}
 
-    def finish(self, meet, how: str) -> DataFrame:
-        """``meet(a, b)`` gives the matching pairs; other kinds than inner need the left rows that have one."""
+    def finish(self, meet, how: str, having) -> DataFrame:
+        """``meet(a, b)`` gives the matching pairs, ``having(a, b)`` the ``l_id`` of left rows that have one, without making the pairs."""
         if how == "inner":
             return self.named(meet(self.a, self.b))
         a = keep(self.a.withColumn("l_id", F.monotonically_increasing_id()))
+        found = having(a, self.b).select("l_id").distinct()
         if how == "left":
-            pairs = keep(meet(a, self.b))
-            alone = a.join(pairs.select("l_id").distinct(), "l_id", "left_anti")
-            return self.named(pairs.unionByName(alone, allowMissingColumns=True))
-        found = meet(a, self.b).select("l_id").distinct()
+            alone = a.join(found, "l_id", "left_anti")
+            return self.named(meet(a, self.b).unionByName(alone, allowMissingColumns=True))
         return self.named(a.join(found, "l_id", how), how)
 
 
@@ -103,20 +104,31 @@ def spread(a: DataFrame, b: DataFrame, keys: list[str], most: int = KEY_ROWS) ->
 
     Rows of a key that has more are dealt to rows (left) and columns (right) of a grid. Such keys
     are counted first: there are at most all rows over ``most``, and ``most`` grows with the
-    tables so that these are at most 2,000.
+    tables so that these are at most 2,000. Where more than ``TASK_PAIRS`` pairs of rows meet, both sides are
+    dealt to as many tasks as these fill: by their bytes alone a few tasks would get all of them.
     """
     counted = a.groupBy(*keys).agg(F.count("*").alias("na")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), keys)
     counted = keep(counted)
-    total = counted.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    total, pairs = (x or 0 for x in counted.agg(F.sum(F.col("na") + F.col("nb")), F.sum(F.col("na").cast("double") * F.col("nb"))).first())
     most = max(most, total // 2_000)
+    tasks = ceil(pairs / TASK_PAIRS)
     hot = counted.where(F.greatest("na", "nb") > most).select(*keys, F.ceil(F.col("na") / most).cast("int").alias("rows"), F.ceil(F.col("nb") / most).cast("int").alias("cols"))
     if hot.isEmpty():
-        return a, b, keys
+        return *dealt(a, b, keys, tasks), keys
     deal = lambda df, n: F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.coalesce(F.col(n), F.lit(1))).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     a = a.join(F.broadcast(hot), keys, "left").withColumn("g_row", deal(a, "rows")).withColumn("g_col", across("cols")).drop("rows", "cols")
     b = b.join(F.broadcast(hot), keys, "left").withColumn("g_col", deal(b, "cols")).withColumn("g_row", across("rows")).drop("rows", "cols")
-    return a, b, [*keys, "g_row", "g_col"]
+    keys = [*keys, "g_row", "g_col"]
+    return *dealt(a, b, keys, tasks), keys
+
+
+def dealt(a: DataFrame, b: DataFrame, keys: list[str], tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by their keys in at least ``tasks`` tasks, as adaptive execution merges tasks of few bytes; one task is left to Spark."""
+    if tasks <= 1:
+        return a, b
+    n = max(tasks, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return a.repartition(n, *keys), b.repartition(n, *keys)
 
 
 # ---- intervals ---------------------------------------------------------------------
@@ -191,7 +203,34 @@ def range_join(args, opts, ctx):
         owner = reduce(lambda out, i: F.when(F.col("at") == i, F.floor(later / widths[i]) if isfinite(widths[i]) else F.lit(0).cast("long")).otherwise(out), range(len(widths)), F.lit(None).cast("long"))
         return a.join(b, by).where((F.col("at") == F.greatest("l_level", "r_level")) & (F.col("bin") == owner) & overlap)
 
-    return ctx.fresh(s.finish(meet, opts.get("how", "inner")))
+    def having(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = prepared(a, "l", ls, le, [s.l(c) for c in lk]), prepared(b, "r", rs, re, [s.r(c) for c in rk])
+        begins_at_end = not half or point["l"]  # whether an interval that begins where the left one ends meets it
+        reach = furthest_before(a.select("l_id", "ls", F.col("le").alias("t"), *keys), b.select(F.col("rs").alias("t"), F.col("re").alias("reach"), *keys), keys, begins_at_end)
+        return reach.where(F.col("ls") < F.col("reach") if half and not point["r"] else F.col("ls") <= F.col("reach"))
+
+    return ctx.fresh(s.finish(meet, opts.get("how", "inner"), having))
+
+
+def furthest_before(a: DataFrame, b: DataFrame, keys: list[str], exact: bool) -> DataFrame:
+    """``a`` (with ``t`` and keys) with the greatest ``reach`` of the rows of ``b`` at or (unless ``exact``) before t.
+
+    A left interval meets one of the right exactly if one that begins by its end reaches its start,
+    so no pair is made. Both sides are dealt out along (keys, t) as for the nearest in time; equal times of
+    either side are told apart by a hash.
+    """
+    side = lambda is_left: F.lit(int(is_left == exact))
+    both = a.withColumns({"side": side(True), "mine": F.lit(True), "reach": F.lit(None).cast(b.schema["reach"].dataType)})
+    both = both.unionByName(b.withColumns({"side": side(False), "mine": F.lit(False)}), allowMissingColumns=True)
+    both = both.withColumn("salt", F.xxhash64("mine", F.monotonically_increasing_id()))
+    order = ["t", "side", "salt"]
+    parts = keep(both.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = parts.withColumn("upto", F.max("reach").over(inside))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy("part", *keys).agg(F.max("reach").alias("reach")).select("part", *keys, F.max("reach").over(before).alias("carried")).where("carried IS NOT NULL")
+    out = held.where("mine").drop("reach").join(ends, ["part", *keys], "left")
+    return out.withColumn("reach", F.greatest("upto", "carried"))
 
 
 # ---- nearest in time ---------------------------------------------------------------
@@ -298,22 +337,29 @@ def theta_join(args, opts, ctx):
     """Pairs for which ``condition`` (over both tables' columns, shared names with _x and _y) is true.
 
     Both sides are counted. A side of few rows is broadcast. Otherwise left rows are dealt to the rows
-    of a grid and right rows to its columns; each cell is one task that sees its share of both
-    sides, whatever the values are, so no value can make it large. A condition that holds an equality is better a JOIN.
+    of a grid and right rows to its columns; each cell sees its share of both sides, at most ``TASK_PAIRS`` pairs,
+    whatever the values are, so no value can make it large. Left rows that must only have a partner, or none, look for the first
+    one in each cell and make no pairs. A condition that holds an equality is better a JOIN.
     """
     s = Sides(*(ctx.plain(ctx.relation(a)) for a in args[:2]))
     condition = parse(opts["condition"], s.names(), opts.get("null_mode", "sql"))
     n = s.left.count(), s.right.count()
-
-    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        if min(n) <= int(opts.get("broadcast_rows", BROADCAST_ROWS)):
-            return (F.broadcast(a).join(b, condition) if n[0] < n[1] else a.join(F.broadcast(b), condition))
-        tasks = int(ctx.spark.conf.get("spark.sql.shuffle.partitions"))
-        cells = max(tasks, ceil(sqrt(n[0] / KEY_ROWS) * sqrt(n[1] / KEY_ROWS)))
-        rows, cols = grid(*n, cells)
+    tasks = max(int(ctx.spark.conf.get("spark.sql.shuffle.partitions")), ceil(n[0] * n[1] / TASK_PAIRS))
+
+    def meet(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        few = min(n) <= int(opts.get("broadcast_rows", BROADCAST_ROWS))
+        if few and n[0] * n[1] > TASK_PAIRS:  # a small file is read by one task
+            a, b = (a, b.repartition(tasks)) if n[0] < n[1] else (a.repartition(tasks), b)
+        if few and how == "inner":
+            return F.broadcast(a).join(b, condition) if n[0] < n[1] else a.join(F.broadcast(b), condition)
+        if few and n[0] >= n[1]:
+            return a.join(F.broadcast(b), condition, how)
+        rows, cols = grid(*n, tasks)
         deal = lambda df, k: F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(k))
         a = a.withColumn("g", deal(a, rows)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.col("g") * cols + c))).drop("g")
         b = b.withColumn("g", deal(b, cols)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * cols + F.col("g")))).drop("g")
-        return a.join(b, (a["cell"] == b["cell"]) & condition).drop(a["cell"]).drop(b["cell"])
+        a, b = (df.repartition(rows * cols, "cell") for df in (a, b))  # a given number, which adaptive execution does not lower
+        out = a.join(b, (a["cell"] == b["cell"]) & condition, how)
+        return out.drop(a["cell"]).drop(b["cell"]) if how == "inner" else out.drop("cell")
 
-    return ctx.fresh(s.finish(meet, opts.get("how", "inner")))
+    return ctx.fresh(s.finish(meet, opts.get("how", "inner"), lambda a, b: meet(a, b, "left_semi")))
