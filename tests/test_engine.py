@@ -487,3 +487,16 @@ def test_kept_tables_can_be_released(spark, people):
     release(spark)
     kept = keep(people)
     assert kept.count() == 4 and release(spark) == 1 and release(spark) == 0
+
+
+def test_exact_distinct_counts_are_dealt_out_first(spark, monkeypatch):
+    """No task holds the distinct values of a whole file; counts stay exact, zeros of both signs are one value."""
+    from weftline import profiling
+
+    monkeypatch.setattr(profiling, "TASK_CELLS", 1000)
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 <> 0 THEN CAST(id % 11 AS string) END AS s", "CASE WHEN id % 2 = 0 THEN 0.0D ELSE -0.0D END AS z", "CAST(NULL AS int) AS none").coalesce(1)
+    got = profiling.statistics(df)
+    assert {r.column: (r.rows, r.nulls, r.distinct_values) for r in got.collect()} == {"id": (4000, 0, 4000), "s": (4000, 1334, 11), "z": (4000, 0, 1), "none": (4000, 4000, 0)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    empty = profiling.statistics(df.limit(0)).collect()
+    assert [(r.rows, r.distinct_values) for r in empty] == [(0, 0)] * 4

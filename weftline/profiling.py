@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 from typing import Any
 
@@ -18,6 +19,8 @@ CONCEPTS = {
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "currency_code": r"^[A-Z]{3}$",
 }
+#: Cells that a task counts exactly.
+TASK_CELLS = 500_000
 CONCEPT_SHARE, CONCEPT_VALUES, CORRELATION, ENUM_VALUES = 0.9, 100, 0.95, 50
 
 
@@ -37,19 +40,37 @@ def _numeric(df: DataFrame) -> list[str]:
 def statistics(df: DataFrame, exact: bool = True) -> DataFrame:
     """column, rows, nulls, distinct_values, min_value, max_value (numbers as double) of every column.
 
-    Exact distinct counts write every row once a column; sketches (``exact=False``, 2 % at one sigma) need one pass.
+    Exact distinct counts write every row once a column, dealt to tasks of ``TASK_CELLS`` cells before anything is
+    counted, so that no task holds more of them; sketches (``exact=False``, 2 % at one sigma) need one pass.
     """
     num = set(_numeric(df))
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(df.columns):
         v = F.col(f"`{c}`")
-        aggs += [F.count(v).alias(f"c{i}"), (F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.02)).alias(f"d{i}")]
+        aggs.append(F.count(v).alias(f"c{i}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(v, 0.02).alias(f"d{i}"))
         aggs += [f(v.cast("double") if c in num else F.lit(None).cast("double")).alias(f"{k}{i}") for k, f in (("l", F.min), ("h", F.max))]
+    plain = df.agg(*aggs)
+    if exact and df.columns:
+        plain = plain.crossJoin(_distinct_counts(df))
     rows = F.array(*(
         F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), (F.col("n") - F.col(f"c{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct_values"), F.col(f"l{i}").alias("min_value"), F.col(f"h{i}").alias("max_value"))
         for i, c in enumerate(df.columns)
     ))
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    return plain.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """d0, d1, ...: how many distinct values each column has, in one row."""
+    names = [f"v{i}" for i in range(len(df.columns))]
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * len(names) // TASK_CELLS))
+    null = lambda c: F.lit(None).cast(df.schema[c].dataType)
+    cell = lambda i: F.struct(F.lit(i).alias("at"), *((F.col(f"`{c}`") if j == i else null(c)).alias(names[j]) for j, c in enumerate(df.columns)))
+    cells = df.select(F.explode(F.array(*map(cell, range(len(names))))).alias("cell")).select("cell.*")
+    some = reduce(lambda x, y: x | y, (F.col(n).isNotNull() for n in names))
+    each = cells.where(some).repartition(tasks, "at", *names).groupBy("at", *names).agg(F.lit(1).alias("one"))
+    return each.agg(*(F.count(F.when(F.col("at") == i, 1)).alias(f"d{i}") for i in range(len(names))))
 
 
 def top_values(df: DataFrame, k: int = 3) -> DataFrame:
