@@ -77,3 +77,21 @@ def test_keys_of_another_stream(spark, feed, tmp_path):
     parent.add([(10, "end", 901)])
     got = go(spark, stateful.orphans(child.stream(), "key", "at", parent.stream(), "key", "at"), tmp_path, "q")
     assert {r.id for r in got.collect()} == {2, 3}
+
+
+def test_many_keys_share_few_groups(spark, tmp_path, monkeypatch):
+    """A group costs milliseconds whatever it holds, so single keys are no groups of their own."""
+    rows = [(i, [0.0, -0.0, 1.5, 2.5][i % 4], f'k"{i % 7},', T0 + timedelta(minutes=i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, k string, at timestamp")
+    df.where("id < 1000").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.where("id >= 1000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(stateful, "BUCKETS", 3, raising=False)
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    numbered = stateful.occurrences(feed, ["x", "k"], "at", late="3650 days", keep_hours=24 * 3650)
+    query = stateful.run_once(numbered, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    ranks = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        ranks.setdefault((r.x + 0.0, r.k), []).append(r._occurrence)
+    assert len(ranks) == 21 and sum(map(len, ranks.values())) == 3000
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values())
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) < 21

@@ -1,7 +1,7 @@
 """Streams with state: repeated and late rows, keys that another stream holds, sessions.
 
 State lives in the query's checkpoint, so a restarted query goes on where it stopped. What is kept for a
-key is one small row, and it goes once event time has passed it by ``keep_for``.
+key is its name, a number and a time, and it goes once event time has passed it by ``keep_hours``.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys are dealt to so many groups; each reads and writes the state of its keys at once. A checkpoint is bound to this number.
+BUCKETS = 2048
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -24,40 +26,73 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Occurrences(StatefulProcessor):
-    """Numbers the rows of a key as they come; forgets a key when event time has passed its last row by ``keep_ms``."""
+    """Numbers the rows of each key as they come; forgets a key when event time has passed its last row by ``keep_ms``.
 
-    def __init__(self, time_column: str, keep_ms: int):
-        self.time_column, self.keep_ms = time_column, keep_ms
+    A group is a bucket of keys: groups of single keys cost some milliseconds each, whatever they hold.
+    """
+
+    def __init__(self, columns: list[str], keep_ms: int):
+        self.columns, self.keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n long, last_ms long")
+        self.seen = handle.getValueState("seen", "codes array<string>, n array<long>, last_ms array<long>")
+
+    def _known(self) -> tuple[dict[str, int], dict[str, int]]:
+        codes, n, last = self.seen.get() if self.seen.exists() else ((), (), ())
+        return dict(zip(codes, n, strict=True)), dict(zip(codes, last, strict=True))
+
+    def _update(self, n: dict[str, int], last: dict[str, int]) -> None:
+        """A bucket has one timer, for the key that is to be forgotten next."""
+        if not n:
+            self.seen.clear()
+            return
+        self.seen.update((list(n), list(n.values()), [last[c] for c in n]))
+        self.handle.registerTimer(min(last.values()) + self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        n, last = self.seen.get() if self.seen.exists() else (0, None)
-        before = last
+        n, last = self._known()
+        if last:
+            self.handle.deleteTimer(min(last.values()) + self.keep_ms)
         for pdf in rows:
-            pdf = pdf.sort_values(self.time_column, kind="stable")
-            ms = pdf[self.time_column].astype("int64") // 1_000_000 if str(pdf[self.time_column].dtype).startswith("datetime64[ns") else pdf[self.time_column].astype("datetime64[ms]").astype("int64")
-            top = int(ms.max())
-            last = top if last is None else max(last, top)
-            yield pdf.assign(occurrence=range(n + 1, n + 1 + len(pdf)))
-            n += len(pdf)
-        self.seen.update((n, last))
-        if before is not None and before != last:
-            self.handle.deleteTimer(before + self.keep_ms)
-        self.handle.registerTimer(last + self.keep_ms)
+            pdf = pdf.sort_values("us", kind="stable")
+            groups = pdf.groupby("code", sort=False)["us"]
+            before = pdf["code"].map(n).fillna(0).astype("int64")
+            yield pdf[self.columns].assign(occurrence=before + groups.cumcount() + 1)
+            for code, size, top in zip((found := groups.agg(["size", "max"])).index, found["size"].tolist(), found["max"].tolist(), strict=True):
+                n[code] = n.get(code, 0) + size
+                last[code] = max(last.get(code, top // 1000), top // 1000)
+        self._update(n, last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, last = self.seen.get()
-        if expiredTimerInfo.getExpiryTimeInMs() >= last + self.keep_ms:
-            self.seen.clear()
+        n, last = self._known()
+        now = timerValues.getCurrentWatermarkInMs()
+        left = {c: t for c, t in last.items() if t + self.keep_ms > now}
+        self._update({c: n[c] for c in left}, left)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _code(df: DataFrame, keys: list[str]) -> Column:
+    """A text for each combination of keys; equal texts are equal keys."""
+
+    def text(c: str) -> Column:
+        kind, value = df.schema[c].dataType, F.col(c)
+        if isinstance(kind, T.BinaryType):
+            return F.base64(value)
+        if isinstance(kind, T.TimestampType):  # wall clocks repeat an hour
+            return F.unix_micros(value).cast("string")
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (value + F.lit(0.0)).cast("string")  # minus zero is zero
+        if isinstance(kind, (T.ArrayType, T.StructType)):
+            return F.to_json(value)
+        return value.cast("string")
+
+    return text(keys[0]) if len(keys) == 1 else F.to_json(F.array(*map(text, keys)))
+
+
 def occurrences(df: DataFrame, key: str | list[str], time_column: str, late: str = "10 minutes", keep_hours: float = 24) -> DataFrame:
     """``df`` with ``_occurrence``: 1 for the first row of a key, 2 for its first repetition, and so on.
 
@@ -72,8 +107,10 @@ def occurrences(df: DataFrame, key: str | list[str], time_column: str, late: str
     for c in (*keys, time_column):
         plain = plain.where(F.col(at(c)).isNotNull())
     schema = T.StructType([*plain.schema.fields, T.StructField("occurrence", T.LongType())])
-    out = plain.withWatermark(at(time_column), late).groupBy(*map(at, keys)).transformWithStateInPandas(
-        statefulProcessor=_Occurrences(at(time_column), int(keep_hours * 3_600_000)), outputStructType=schema, outputMode="append", timeMode="EventTime",
+    coded = plain.withColumn("code", _code(plain, [at(c) for c in keys])).withColumn("us", F.unix_micros(at(time_column)))
+    coded = coded.withColumn("bucket", F.pmod(F.xxhash64("code"), F.lit(BUCKETS)).cast("int"))
+    out = coded.withWatermark(at(time_column), late).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_Occurrences(names, int(keep_hours * 3_600_000)), outputStructType=schema, outputMode="append", timeMode="EventTime",
     )
     return out.select(*(F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)), F.col("occurrence").alias("_occurrence"))
 
