@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import lm, topk
+from weftline.llm import lm, pii, topk
 from weftline.llm.lm import HashIndex, score_documents
 from weftline.llm.pii import KINDS, expectation_maximisation, redact, span_digests
 from weftline.llm.quality import MIN_GROUP, keep_good, quality_rules
@@ -272,3 +272,26 @@ def test_vectors_of_different_lengths_are_searched_apart(spark):
     for q in (0, 50, 100):
         near = sorted((sum(a != b for a, b in zip(bits[q], bits[i], strict=True)), i) for i in bits if len(bits[i]) == len(bits[q]))
         assert sorted(got[q]) == near[:4]
+
+
+def test_added_spans_are_found_within_the_row(spark):
+    """No text is shuffled to meet the spans added to it, and added ones keep clear of base ones, also among very many."""
+    r = random.Random(11)
+    spans = []
+    for _ in range(30):
+        row = []
+        for _ in range(r.randint(0, 200)):
+            start = r.randint(0, 900)
+            row.append((start, start + r.randint(1, 12), "email", r.random() < 0.3, "1111", ["rule=1"]))
+        spans.append(row)
+    found = spark.createDataFrame([(i, (f"t{i}",), s) for i, s in enumerate(spans)], f"rid long, row struct<text:string>, found {pii._SPAN_ARRAY}").repartition(3)
+    weights = {("email", ""): 9.0}
+    out = pii.decided(found, weights)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    for x in out.collect():
+        row = spans[int(x.row.text[1:])]
+        base = [s for s in row if s[3]]
+        clear = [s for s in row if s[3] or (all(b[1] <= s[0] for b in base if b[0] < s[0]) and all(b[0] >= s[1] for b in base if b[0] >= s[0]))]
+        assert sorted((s.start, s.end) for s in x.spans) == sorted((s[0], s[1]) for s in clear)
+        assert sorted((s.start, s.end) for s in x.base) == sorted((s[0], s[1]) for s in base)

@@ -30,7 +30,6 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import let, materialise
 
@@ -253,17 +252,20 @@ def decided(found: DataFrame, weights: dict[tuple[str, str], float]) -> DataFram
     base = F.filter("found", lambda s: s["base"])
     if not weights:
         return found.select("row", slim(base).alias("base"), slim(base).alias("spans"))
-    # texts with candidates beyond the base ones: a row a span, as every one must be held against the base spans around it
-    some = found.where(F.size("found") > F.size(base)).select("rid", F.explode("found").alias("s")).select("rid", "s", F.col("s.start").alias("start"), F.col("s.base").alias("is_base"))
-    by = Window.partitionBy("rid").orderBy("start", "is_base")
-    reach = F.max(F.when(F.col("is_base"), F.col("s.end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("is_base")).rowsBetween(Window.unboundedPreceding, -1)  # a frame of all that follows would be read anew for every row
-    come = F.min(F.when(F.col("is_base"), F.col("start"))).over(back)
-    apart = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(come, F.col("s.end")) >= F.col("s.end"))
-    extra = some.withColumn("apart", apart).where(~F.col("is_base") & F.col("apart") & _accepted(F.col("s"), weights)).groupBy("rid").agg(F.collect_list("s").alias("extra"))  # of one text
-    joined = found.join(extra, "rid", "left")
-    none = F.array().cast(_SPAN_ARRAY)
-    return joined.select("row", slim(base).alias("base"), slim(F.concat(base, F.coalesce("extra", none))).alias("spans"))
+    most = F.lit(2**31 - 1)
+
+    def extra(v: Column) -> Column:
+        """Of all candidates (start, is_base, s) in order: the accepted ones that no base span overlaps, in time linear in their number."""
+        reach = running(F.transform(v, lambda x: F.when(x["is_base"], x["s"]["end"]).otherwise(0)), lambda a, e: F.greatest(a, e), F.lit(0))
+        come = running(F.transform(F.reverse(v), lambda x: F.when(x["is_base"], x["start"]).otherwise(most)), lambda a, e: F.least(a, e), most)
+        apart = lambda o, x, i: (F.get(o["reach"], i) <= x["start"]) & (F.get(o["come"], F.size(o["v"]) - 1 - i) >= x["s"]["end"])
+        added = lambda o: F.filter(o["v"], lambda x, i: ~x["is_base"] & apart(o, x, i) & _accepted(x["s"], weights))
+        return F.transform(let(F.struct(v.alias("v"), reach.alias("reach"), come.alias("come")), added), lambda x: x["s"])
+
+    # within the row, so that no text is shuffled
+    ordered = F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["base"].alias("is_base"), s.alias("s"))))
+    more = F.when(F.size("found") > F.size(base), let(ordered, extra)).otherwise(F.array().cast(_SPAN_ARRAY))
+    return found.select("row", slim(base).alias("base"), slim(F.concat(base, more)).alias("spans"))
 
 
 def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
