@@ -5,6 +5,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import entity
 from weftline.queries import col, node, run
@@ -62,6 +63,18 @@ def test_no_similar_pair_is_missed(spark, t):
     assert want <= found and len(found) < len(texts) ** 2 / (4 if t > 0.8 else 2)
 
 
+def test_no_task_makes_very_many_pairs(spark, monkeypatch):
+    """Pairs of a gram that many values share, and of many small grams, are made by as many tasks as they fill."""
+    monkeypatch.setattr(entity, "TASK_PAIRS", 500)
+    monkeypatch.setattr(entity, "GRAM_ROWS", 20)
+    rows = [(i, 1, 6, ("x" if i < 120 else f"y{i % 40}", 1)) for i in range(400)]
+    met = entity._met(spark.createDataFrame(rows, "id long, n long, len int, gram struct<text:string,time:int>"), 0.85)
+    got = met.select("a", "b", F.spark_partition_id().alias("task")).collect()
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if rows[i][3] == rows[j][3]}
+    assert len(got) == len(want) and {(p.a, p.b) for p in got} == want
+    assert max(Counter(p.task for p in got).values()) < len(want) / 4
+
+
 def test_rounds_decide_as_one_task_does(spark):
     r = random.Random(3)
     ranks = {f"v{i}": (r.randint(1, 5), i) for i in range(80)}

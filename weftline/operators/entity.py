@@ -31,6 +31,8 @@ from .meeting import spread
 DEFAULT = 0.85
 #: Undecided links that one task may decide.
 TASK_LINKS = 200_000
+#: Pairs that one task makes, about; they are held in memory to be told apart. A gram of more than GRAM_ROWS values is dealt to a grid.
+TASK_PAIRS, GRAM_ROWS, HOT_GRAMS = 500_000, 700, 100_000
 
 
 def similarity():
@@ -78,6 +80,13 @@ def _letters(value: str) -> Column:
     return F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))
 
 
+def _met(grams: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the values that share a gram, once for each shared one."""
+    sides = (grams.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("len").alias(f"l{x}"), "gram") for x in "ab")
+    a, b, by = spread(*sides, ["gram"], GRAM_ROWS, TASK_PAIRS, HOT_GRAMS)
+    return a.join(b, by).where(_ahead() & _length(threshold)).select("a", "b")
+
+
 def candidates(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b): ids of values (id, value, len, n) that can be similar, a ahead of b."""
     shortest = F.ceil(F.col("len") * (threshold / (2 - threshold)))
@@ -91,9 +100,7 @@ def candidates(values: DataFrame, threshold: float) -> DataFrame:
     families.append(("letters", _prefixes(values if limit == inf else values.where(F.col("len") + shortest < limit + 1), 1, letters)))
     found = None
     for _, grams in families:
-        grams = keep(grams)
-        a, b, by = spread(*(grams.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("len").alias(f"l{x}"), "gram") for x in "ab"), ["gram"])
-        met = a.join(b, by).where(_ahead() & _length(threshold)).select("a", "b")
+        met = _met(keep(grams), threshold)
         found = met if found is None else found.unionByName(met)
     return found.distinct()
 

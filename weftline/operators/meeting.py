@@ -99,19 +99,19 @@ def measure(c: Column, kind: T.DataType) -> Column:
     raise ValueError(f"{kind.simpleString()} has no order to measure; numbers, dates and timestamps have")
 
 
-def spread(a: DataFrame, b: DataFrame, keys: list[str], most: int = KEY_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+def spread(a: DataFrame, b: DataFrame, keys: list[str], most: int = KEY_ROWS, task_pairs: int = TASK_PAIRS, hot_keys: int = 2_000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with two more keys, so that no task gets more than about ``most`` rows of one key.
 
     Rows of a key that has more are dealt to rows (left) and columns (right) of a grid. Such keys
     are counted first: there are at most all rows over ``most``, and ``most`` grows with the
-    tables so that these are at most 2,000. Where more than ``TASK_PAIRS`` pairs of rows meet, both sides are
+    tables so that these are at most ``hot_keys``. Where more than ``task_pairs`` pairs of rows meet, both sides are
     dealt to as many tasks as these fill: by their bytes alone a few tasks would get all of them.
     """
     counted = a.groupBy(*keys).agg(F.count("*").alias("na")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), keys)
     counted = keep(counted)
     total, pairs = (x or 0 for x in counted.agg(F.sum(F.col("na") + F.col("nb")), F.sum(F.col("na").cast("double") * F.col("nb"))).first())
-    most = max(most, total // 2_000)
-    tasks = ceil(pairs / TASK_PAIRS)
+    most = max(most, total // hot_keys)
+    tasks = ceil(pairs / task_pairs)
     hot = counted.where(F.greatest("na", "nb") > most).select(*keys, F.ceil(F.col("na") / most).cast("int").alias("rows"), F.ceil(F.col("nb") / most).cast("int").alias("cols"))
     if hot.isEmpty():
         return *dealt(a, b, keys, tasks), keys
