@@ -373,6 +373,37 @@ def test_pairs_of_a_crowd_grow_with_its_lines(spark, n):
     assert crowded.count() == n
 
 
+def test_crowds_of_some_dozens_are_compared_in_full_without_texts(spark):
+    """60 lines under one key: each two that the letters allow are a pair, none of them is dealt on."""
+    r = random.Random(5)
+    parts = ["".join(r.choice("etaoinsr") for _ in range(50)), "".join(r.choice("hldcumfp") for _ in range(50))]
+    lines = [p[:i] + "x" + p[i + 1 :] for p in parts for i in range(30)]
+    norms = spark.createDataFrame(list(enumerate(lines)), "node long, norm string")
+    rows = norms.select("node", *line_module._letters(F.col("norm"))).selectExpr("*", "0 AS family", "0L AS fp", "50 AS chars", "1L AS n", "node AS component", "7L AS key", "-1 AS at", "60L AS size")
+    pairs, crowded = line_module._dealt(rows)
+    assert crowded is None
+    assert {(p.u, p.v) for p in pairs.collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 30 == j // 30}
+
+
+def test_counts_of_letters_lose_no_similar_pair(spark):
+    """Lines with up to a fifth of their characters changed, added or taken away, in two alphabets, and lines beyond the limit of characters."""
+    r = random.Random(6)
+    rows = []
+    for i in range(400):
+        letters = "etaoinsrhldcumfpgwyb " if i % 2 else "абвгдеetaoi "
+        a = list("".join(r.choice(letters) for _ in range(r.choice((6, 30, 80, 300, 420)))))
+        b = list(a)
+        for _ in range(r.randrange(len(a) // 5 + 1)):
+            at = r.randrange(len(b))
+            b[at : at + r.randrange(2)] = r.choice(letters) * r.randrange(2)
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "x string, y string")
+    row = lambda c: F.struct(F.length(c).alias("chars"), *line_module._letters(F.col(c)))
+    df = df.select("x", "y", row("x").alias("a"), row("y").alias("b")).select("*", line_module._may_fit("a", "b").alias("may"), line_module._edits(F.col("x"), F.col("y")).alias("like"))
+    got = df.collect()
+    assert sum(g.like for g in got) > 300 and all(g.may for g in got if g.like)
+
+
 def test_very_long_lines(spark):
     """Edits of words beyond a thousand characters, shingles beyond thousands of words."""
     r = random.Random(3)
