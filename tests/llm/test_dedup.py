@@ -404,6 +404,56 @@ def test_counts_of_letters_lose_no_similar_pair(spark):
     assert sum(g.like for g in got) > 300 and all(g.may for g in got if g.like)
 
 
+def grouped_lines(spark, lines, keys, often):
+    """Components of nodes 0, 1, ... of one fingerprint, with the keys (six a line) and numbers of occurrences given."""
+    rows = [(i, 1, 0, len(t), often.get(i, 1), *(k if k is not None else 10_000 + 6 * i + j for j, k in enumerate(keys[i]))) for i, t in enumerate(lines)]
+    nodes = spark.createDataFrame(rows, "node long, family int, fp long, chars int, n long, " + ", ".join(f"k{t} long" for t in range(6)))
+    norms = spark.createDataFrame(list(enumerate(lines)), "node long, norm string")
+    found = {}
+    for r in line_module._grouped(nodes, 6, lambda wanted: norms.join(wanted, "node", "left_semi")).collect():
+        found.setdefault(r.component, set()).add(r.node)
+    return sorted(map(sorted, found.values()))
+
+
+def unlike_lines(n, chars=60):
+    r = random.Random(11)
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(chars)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [40, 900])
+def test_lines_that_share_one_crowded_key_alone_are_compared(spark, n):
+    """In a crowd under one key, whose head is like none of them, each line finds its copy (crowds below and above the size that is cut)."""
+    lines = unlike_lines(n)
+    lines += [t[:30] + "é" + t[31:] for t in lines[1 : n // 2]]
+    got = grouped_lines(spark, lines, {i: [7, *[None] * 5] for i in range(len(lines))}, {0: 1000})
+    assert got == [[i, n + i - 1] for i in range(1, n // 2)]
+
+
+def test_marks_lose_no_similar_pair(spark):
+    """Lines with up to a fifth of their characters changed, added or taken away, in several alphabets and beyond the limit of characters; most of the unlike ones go."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(400):
+        letters = r.choice(("etaoinsrhldcumfpgwyb ", "абв ", "ab", "𝒜𝒷中文 "))
+        a = list("".join(r.choice(letters) for _ in range(r.choice((1, 2, 6, 30, 80, 300, 420)))))
+        b = list(a)
+        for _ in range(r.randrange(len(a) // 5 + 1)):
+            at = r.randrange(len(b)) if b else 0
+            b[at : at + r.randrange(2)] = r.choice(letters) * r.randrange(2)
+        rows.append(("".join(a), "".join(b)))
+    words = unlike_lines(200)
+    rows += list(zip(words[::2], words[1::2], strict=True))
+    lines = spark.createDataFrame([(2 * i + k, t, "x") for i, p in enumerate(rows) for k, t in enumerate(p)], "node long, norm string, key string")
+    nodes = lines.selectExpr("node", "0L AS fp", "length(norm) AS chars", "1 AS family", "node AS component", "node div 2 AS key", "2L AS size")
+    got = {(p.u, p.v) for p in line_module._compared(nodes, lines.select("node", "norm")).where("sure").collect()}
+    like = spark.createDataFrame([(2 * i, 2 * i + 1, *p) for i, p in enumerate(rows)], "u long, v long, a string, b string").where(line_module._edits(F.col("a"), F.col("b")) & (F.least(F.length("a"), F.length("b")) <= 400))
+    assert got == {(p.u, p.v) for p in like.where(line_module._fits(F.length("a"), F.length("b"))).collect()} and len(got) > 200
+    marks = line_module._marks(lines.where("node >= 800"))
+    marks = marks.withColumn("ones", sum(F.bit_count(f"m{w}") for w in range(line_module.MARKS))).withColumn("free", F.lit(0)).withColumn("chars", F.lit(60))
+    pair = marks.alias("a").join(marks.alias("b"), F.expr("a.node % 2 = 0 AND b.node = a.node + 1"))
+    assert pair.where(line_module._marks_fit("a", "b")).count() == 0 < pair.count()
+
+
 def test_very_long_lines(spark):
     """Edits of words beyond a thousand characters, shingles beyond thousands of words."""
     r = random.Random(3)
