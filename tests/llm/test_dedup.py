@@ -429,6 +429,15 @@ def test_lines_that_share_one_crowded_key_alone_are_compared(spark, n):
     assert got == [[i, n + i - 1] for i in range(1, n // 2)]
 
 
+@pytest.mark.parametrize("n", [40, 120])
+def test_lines_beside_one_that_its_head_takes_are_found(spark, n):
+    """Under crowded keys a line is like the head, another like that line but not like the head: all three are one group."""
+    lines = unlike_lines(n)
+    lines += [lines[0][:50] + "éèêëàâäùûü", "ôöîïçñáíóú" + lines[0][10:50] + "éèêëàâäùûü"]
+    got = grouped_lines(spark, lines, {i: [7, 8, *[None] * 4] for i in range(len(lines))}, {0: 1000})
+    assert got == [[0, n, n + 1]]
+
+
 def test_marks_lose_no_similar_pair(spark):
     """Lines with up to a fifth of their characters changed, added or taken away, in several alphabets and beyond the limit of characters; most of the unlike ones go."""
     r = random.Random(8)
