@@ -463,6 +463,17 @@ def test_marks_lose_no_similar_pair(spark):
     assert pair.where(line_module._marks_fit("a", "b")).count() == 0 < pair.count()
 
 
+def test_no_text_is_broadcast_for_crowds_or_pairs(spark):
+    """Even where Spark would take all tables for small, texts are joined by shuffle and lines beyond the limit are not broadcast."""
+    lines = spark.createDataFrame([(i, f"line number {i}") for i in range(50)], "node long, norm string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(49)], "u long, v long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(line_module._verified(pairs, lambda wanted: lines))
+    rows = spark.range(10).selectExpr("id AS rid")
+    many = spark.range(line_module.BROADCAST_LINES + 1).selectExpr("id % 10 AS rid", "id AS pos")
+    assert "BroadcastHashJoin" not in plan(line_module._beside(rows, many, "left"))
+
+
 def test_very_long_lines(spark):
     """Edits of words beyond a thousand characters, shingles beyond thousands of words."""
     r = random.Random(3)
