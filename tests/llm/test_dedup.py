@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from weftline.llm import components as components_module
 from weftline.llm import lines as line_module
 from weftline.llm import simhash
 from weftline.llm.components import components
@@ -51,6 +52,17 @@ def plain_fingerprint(text, size):
     return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
 
 
+def test_rounds_of_few_edges_need_no_shuffle(spark, monkeypatch):
+    """The driver keeps a thread a shuffle for a minute; results are the same with shuffles."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60) if i % 7] + [(100, 3), (200, 100)], "u long, v long")
+    written = components_module.materialise(edges, "edges")
+    star = components_module._star(components_module._star(written, True, True), False, True)
+    assert "Exchange hashpartitioning" not in star._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(components_module, "ONE_PARTITION", -1)
+    assert sorted(map(tuple, components(edges).collect())) == few and len(few) == 62
+
+
 def test_fingerprints(texts, spark):
     for t in texts:
         assert fingerprint(t or "", 3) == plain_fingerprint(t or "", 3)
